@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_crf, jaccard_join, langid, line_dedup, sharding, topk, toxicity, warc
+from . import decontam, html_crf, jaccard_join, langid, line_dedup, sharding, spiece, topk, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_substring_dedup": line_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
+    "op10_sentencepiece": spiece.op10_sentencepiece,
 }
 ORACLE_SQL = {**topk.SQL, **line_dedup.SQL, **jaccard_join.SQL, **decontam.SQL}
