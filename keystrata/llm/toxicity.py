@@ -1,10 +1,12 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding decomposes and lower-cases, strips accents, maps homoglyphs of other
-scripts and digit or symbol substitutions inside words to Latin letters, and
-turns all else into one space. The lexicon holds word beginnings (a space and at
+Folding lower-cases, maps homoglyphs of other scripts and digit or symbol
+substitutions inside words to Latin letters, and turns all else into one space;
+words with accents are looked up with them and, for stems in plain letters, also
+without. The lexicon holds word beginnings (a space and at
 least MIN_STEM letters) that are learned from labelled texts: those far more
-frequent in toxic documents, weighted by log odds. A match inside an exception
+frequent in toxic documents, weighted by log odds, of stems that begin alike the
+one with the most evidence. A match inside an exception
 phrase, learned (a stem's word and its neighbour, found in clean documents) or
 given, counts nothing. The hits' weights are summed, set against the length, and
 a logistic curve fitted to the labels turns both into a score.
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, table
 
 TRAIN_DOCS = 20_000
-MIN_STEM, MAX_STEM = 4, 12
-#: A stem is learned if it is this many times as frequent in toxic documents, and in at least so many of them.
-MIN_RATIO, MIN_DOCS = 8.0, 3
+MIN_STEM, MAX_STEM = 3, 12
+#: A stem is learned if it is this many times as frequent in toxic documents, in at least so many of them, and
+#: its evidence (documents times log ratio) exceeds what chance gives the best of all stems by this much.
+MIN_RATIO, MIN_DOCS, MARGIN = 20.0, 3, 3.0
 MAX_STEMS = 5_000
 CHUNK = 1 << 18
 
@@ -55,6 +58,7 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser board", "scum
 
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"(?<=[a-z])[0-9@$!|€]+(?=[a-z])|(?<![a-z0-9@$!|€])[0-9@$€]+(?=[a-z])|(?<=[a-z])[0-9@$€]+(?![a-z0-9@$!|€])")
+_ACCENTED = re.compile(r"(?<= )(?=[^ ]*[^\x00-\x7f])[^ ]+")
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SUBS = str.maketrans(SUBSTITUTES)
 _ZERO = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -62,17 +66,19 @@ _ANY = re.compile(r"[0-9@$!|\u20ac]")
 
 
 def fold_text(text: str) -> str:
-    """Folded words, one space before each and one after the last."""
+    """Folded words, one space before each and one after the last; accents stay."""
     low = text.lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKD", _ZERO.sub("", low))
-        low = "".join(c for c in low if not unicodedata.combining(c)) if not low.isascii() else low
-        low = low.translate(_FOLD)
+        low = unicodedata.normalize("NFKC", _ZERO.sub("", low)).translate(_FOLD)
     if _ANY.search(low):
         low = _MIXED.sub(lambda m: m[0].translate(_SUBS), low)
     return " " + " ".join(_WORD.findall(low)) + " "
 
 
+def unaccented(folded: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
+
+
 def _spans(text: str) -> Iterator[str]:
     """Folded pieces of a text, cut at white space where a piece is full."""
     at = 0
@@ -98,6 +104,27 @@ class Lexicon:
         if stems or exceptions:
             self.automaton.make_automaton()
 
+        # Stems in plain letters, also looked for in accented words once their accents are gone.
+        plain = {s_: w for s_, w in stems.items() if s_.isascii() and len(s_) >= 5}
+        self.disguised = None
+        if plain:
+            self.disguised = ahocorasick.Automaton()
+            for s_, w in plain.items():
+                self.disguised.add_word(" " + s_, (len(s_) + 1, w))
+            self.disguised.make_automaton()
+
+    def _found(self, piece: str) -> dict[int, float]:
+        """Weight of each hit by its place, without those inside exception phrases."""
+        found: dict[int, float] = {}
+        harmless: list[tuple[int, int]] = []
+        for end, (length, w) in self.automaton.iter(piece):
+            start = end - length + 1
+            if w is None:
+                harmless.append((start, end))
+            else:
+                found[start] = max(w, found.get(start, 0.0))
+        return {at: w for at, w in found.items() if not any(a <= at < b for a, b in harmless)}
+
     def weigh(self, text: str | None) -> tuple[float, int, int]:
         """Sum of weights, hits and words of a text."""
         total, hits, words = 0.0, 0, 0
@@ -105,18 +132,16 @@ class Lexicon:
             words += piece.count(" ") - 1
             if not self.stems:
                 continue
-            found: dict[int, float] = {}
-            harmless: list[tuple[int, int]] = []
-            for end, (length, w) in self.automaton.iter(piece):
-                start = end - length + 1
-                if w is None:
-                    harmless.append((start, end))
-                else:
-                    found[start] = max(w, found.get(start, 0.0))
-            for start, w in found.items():
-                if not any(a <= start < b for a, b in harmless):
-                    total += w
-                    hits += 1
+            found = self._found(piece)
+            if self.disguised is not None and not piece.isascii():
+                # Accents may be put on a listed word: what only shows without them counts too.
+                for word in set(_ACCENTED.findall(piece)):
+                    plain = unaccented(word)
+                    if plain != word:
+                        for n, (_, (_, w)) in enumerate(self.disguised.iter(f" {plain} ")):
+                            found.setdefault(-len(found) - n - 1, w)
+            total += sum(found.values())
+            hits += len(found)
         return total, hits, max(words, 0)
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -202,12 +227,16 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
         return Lexicon({}, [], (-1.0, 0.0, 0.0))
     ratio = ((F.col("bad") + 0.1) / n_bad) / ((F.col("good") + 0.5) / n_good)
     # The best by evidence; a bounded number comes to the driver.
-    best = counted.where((F.col("stem") != "") & (F.col("bad") >= MIN_DOCS)).select("stem", "bad", "good", ratio.alias("ratio")).where(F.col("ratio") >= MIN_RATIO)
-    rows_ = best.orderBy(F.desc(F.col("bad") * F.log("ratio")), "stem").limit(MAX_STEMS).collect()
+    chance = float(np.log(max(1, counted.count()))) + MARGIN
+    best = counted.where((F.col("stem") != "") & (F.col("bad") >= MIN_DOCS)).select("stem", (F.col("bad") * F.log(ratio)).alias("evidence"), ratio.alias("ratio"))
+    rows_ = best.where((F.col("ratio") >= MIN_RATIO) & (F.col("evidence") >= chance)).orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").limit(MAX_STEMS).collect()
     stems: dict[str, float] = {}
-    for r in sorted(rows_, key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"][:k] in stems for k in range(MIN_STEM, len(r["stem"]))):  # a shorter stem says as much
-            stems[r["stem"]] = float(np.log(r["ratio"]))
+    taken: set[str] = set()
+    for r in rows_:  # of stems that begin alike, the one with the most evidence
+        stem = r["stem"]
+        if stem not in taken and not any(stem[:k] in stems for k in range(MIN_STEM, len(stem))):
+            stems[stem] = float(np.log(r["ratio"]))
+            taken |= {stem[:k] for k in range(MIN_STEM, len(stem) + 1)}
     phrases = sample.mapInArrow(_learned_exceptions(stems), "toxic int, phrase string, n long").groupBy("phrase").agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("good")
     )
