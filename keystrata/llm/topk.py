@@ -86,10 +86,10 @@ def _cell(row, k: int, cutoffs: np.ndarray | None):
     """Phase 1 (no cutoffs): (query id, exact scores); else phases 2 and 3: (query id, candidate id, score)."""
     dim = row["dim"]
     qid, cid = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q, c = (np.frombuffer(row[x], np.float64).reshape(-1, dim) for x in ("q_vecs", "vecs"))
+    q, c = (np.frombuffer(row[x], np.float64).reshape(len(i), dim) for x, i in (("q_vecs", qid), ("vecs", cid)))
     kind = _exact_type(q, c)
     if kind is object:
-        q, c = (np.array([[int(v) for v in r] for r in x], object).reshape(-1, dim) for x in (q, c))
+        q, c = (np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) for x in (q, c))
     else:
         q, c = q.astype(kind), c.astype(kind)
     head = (dim + 1) // 2
