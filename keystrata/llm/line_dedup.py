@@ -1,10 +1,13 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing lines, and the sentences of lines that hold several.
 
-A document's units are its lines. A unit is normalised (Unicode white space to
-one space, trimmed, lower-cased) and digested; digests are grouped over the whole
-corpus. The earliest occurrence, by (doc_id, unit number), stays and every other
-is removed, with its offsets in the original text kept. Units of fewer than
-MIN_WORDS words are never removed: short lines repeat in clean prose.
+A document's units are its lines and, in a line of several sentences, those too:
+a passage set into the middle of a paragraph is found by the sentences that it
+brings whole. A unit is normalised (white space to one space, trimmed,
+lower-cased) and digested; digests are grouped over the whole corpus. The earliest
+occurrence, by (doc_id, line, sentence), stays and every other is removed, with
+its offsets in the original text kept. Units of fewer than MIN_WORDS words are
+never removed: short ones repeat in clean prose. What is removed inside a removed
+line is part of that line's span.
 
 The corpus-wide steps move one narrow row for each unit; counts and minima are
 combined before the shuffle, so a unit that a third of the documents share costs
@@ -12,13 +15,14 @@ a row for each task. Texts move once, and only when they are rewritten.
 
 Edge cases: null and empty texts have no units and come back as they are; a unit
 repeated inside one document keeps its first place; rows with equal doc_id and
-equal text are the same occurrence (rows that share only the doc_id are not); a null doc_id sorts last; a text that loses
+equal text are the same occurrence (rows that share only the doc_id are not); a
+null doc_id sorts last; a line that loses all its sentences goes; a text that loses
 every unit becomes the empty string; other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,12 +35,22 @@ def normalised(unit: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\r\f\x0B]+", " ")))
 
 
+def sentences(line: Column) -> Column:
+    """A line's sentences, each with the space after it: together they are the line."""
+    return F.split(line, r"(?<=[.!?] )")
+
+
+#: A unit's place: its line number, and its sentence's number from 1, or 0 for the whole line.
+PLACE = 1 << 32
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit, digest of every unit that dedup looks at, and its place (code points from 0, end exclusive)."""
-    lines = F.split("text", "\n")
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(lines).alias("unit", "line"))
-    norm = rows.select("doc_id", "text_key", "unit", normalised(F.col("line")).alias("norm"))
-    return norm.where(F.size(F.split("norm", " ")) >= MIN_WORDS).select("doc_id", "text_key", "unit", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
+    """doc_id, text_key, unit (line * PLACE + sentence) and digest of every unit that dedup looks at."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "whole"))
+    found = rows.select("doc_id", "text_key", "line", F.posexplode(F.when(F.rlike("whole", F.lit("[.!?] .")), F.concat(F.array("whole"), sentences(F.col("whole")))).otherwise(F.array("whole"))).alias("sentence", "part"))
+    norm = found.select("doc_id", "text_key", (F.col("line").cast("long") * PLACE + F.col("sentence")).alias("unit"), normalised(F.col("part")).alias("norm"))
+    digest = F.struct(F.xxhash64("norm").alias("hash"), F.length("norm").alias("length"))
+    return norm.where(F.size(F.split("norm", " ")) >= MIN_WORDS).select("doc_id", "text_key", "unit", digest.alias("digest"))
 
 
 def _place() -> Column:
@@ -51,64 +65,86 @@ def repeats(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key", "unit").agg(F.min("first.doc_id").alias("first_doc_id"))
 
 
+def _whole_line(unit: Column) -> Column:
+    return unit - F.pmod(unit, F.lit(PLACE))
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, end, first_doc_id of each removed span (code points from 0, end exclusive). Texts stay where they are."""
+    cuts = repeats(docs).withColumnsRenamed({"doc_id": "c_doc", "text_key": "c_key", "unit": "c_unit"})
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "whole")).distinct()
+    parts = rows.select("doc_id", "text_key", "line", F.length("whole").alias("length"), F.posexplode(F.transform(sentences(F.col("whole")), lambda x: F.length(x))).alias("at", "size"))
+    begin = Window.partitionBy("doc_id", "text_key").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, -1)
+    ends_line = F.when(F.lead("line").over(Window.partitionBy("doc_id", "text_key").orderBy("line", "at")) != F.col("line"), 1).otherwise(0)
+    placed = parts.withColumn("step", (F.col("size") + ends_line).cast("long")).withColumn("start", F.coalesce(F.sum("step").over(begin), F.lit(0)).cast("long"))
+    both = F.array(
+        F.when(F.col("at") == 0, F.struct((F.col("line").cast("long") * PLACE).alias("unit"), (F.col("start") + F.col("length")).alias("end"))),
+        F.struct((F.col("line").cast("long") * PLACE + F.col("at") + 1).alias("unit"), (F.col("start") + F.col("size")).alias("end")),
+    )
+    spans = placed.select("doc_id", "text_key", "start", F.explode(F.array_compact(both)).alias("u")).select("doc_id", "text_key", "start", "u.unit", "u.end")
+    met = spans.join(cuts, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_key") == F.col("c_key")) & (F.col("unit") == F.col("c_unit")))
+    in_line = Window.partitionBy("doc_id", "text_key", _whole_line(F.col("unit")))
+    kept = met.withColumn("least", F.min("unit").over(in_line)).where((F.col("unit") == F.col("least")) | (F.pmod("least", F.lit(PLACE)) != 0))
+    return kept.select("doc_id", "text_key", "start", "end", "first_doc_id")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs' rows with `kept_text` and `removed` (array of start, end, first_doc_id), in the rows' own columns' names."""
+    """docs' rows with `kept_text` and `n_removed`, the units that were cut."""
     cuts = (
         repeats(docs)
         .groupBy("doc_id", "text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("unit", "first_doc_id"))).alias("__cuts"))
+        .agg(F.collect_set("unit").alias("__cuts"))
         .withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key"})
     )
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
     joined = docs.join(cuts, same, "left").drop("__doc_id", "__text_key")
-    lines = F.split("text", "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("unit"), F.map_contains_key("__cuts", i).alias("cut")))
-    # Start offsets: a running sum of line lengths, kept as the array of spans so far.
-    spans = F.aggregate(
-        numbered,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,first_doc_id:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["line"]) + 1).alias("at"),
-            F.when(
-                x["cut"],
-                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x["line"])).alias("end"), F.element_at(F.col("__cuts"), x["unit"]).alias("first_doc_id")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    is_cut = lambda place: F.array_contains("__cuts", place)
+
+    def rest(line: Column, i: Column) -> Column:
+        """The line without its cut sentences; null if it goes whole."""
+        at = i.cast("long") * PLACE
+        left = F.filter(sentences(line), lambda _, j: ~is_cut(at + j + 1))
+        return F.when(is_cut(at), F.lit(None)).when(F.size(left) == 0, F.lit(None)).otherwise(F.array_join(left, ""))
+
+    kept = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), rest)), "\n")
     touched = F.col("__cuts").isNotNull() & F.col("text").isNotNull()
-    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~x["cut"]), lambda x: x["line"]), "\n")
-    return joined.withColumns({"kept_text": F.when(touched, kept).otherwise(F.col("text")), "removed": F.when(touched, spans)}).drop("__cuts")
+    return joined.withColumns({"kept_text": F.when(touched, kept).otherwise(F.col("text")), "n_removed": F.coalesce(F.array_size("__cuts"), F.lit(0))}).drop("__cuts")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each removed span: document, place in the original text, length, and the document that keeps the passage."""
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.where(F.size("removed") > 0).select("doc_id", F.explode("removed").alias("r")).select(
-        "doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.first_doc_id").alias("first_doc_id")
-    )
+    """A row for each removed span: document, place in the original text, and the document that keeps the passage."""
+    return removed_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated units; a document that loses every unit goes."""
     done = dedup_lines(docs)
-    emptied = (F.size("removed") > 0) & (F.trim("kept_text") == "")
+    emptied = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
     return done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("kept_text")).select(*docs.columns)
 
 
 SQL = {
     "op8_substring_dedup": r"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE text IS NOT NULL
 ), p AS (
-  SELECT doc_id, unit, line, CAST(COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-    lower(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), ' ')) AS norm
+  SELECT *, COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start,
+    string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS parts
   FROM l
+), e AS (
+  SELECT doc_id, i, 0 AS j, line AS part, line_start AS start FROM p
+  UNION ALL
+  SELECT doc_id, i, j, part, line_start + COALESCE(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  FROM (SELECT doc_id, i, line_start, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM p WHERE regexp_matches(line, '[.!?] .'))
+), n AS (
+  SELECT *, lower(trim(regexp_replace(part, '[ \t\r\f\x0B]+', ' ', 'g'), ' ')) AS norm FROM e
 ), u AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS rn, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, unit) AS first_doc_id
-  FROM p WHERE len(string_split(norm, ' ')) >= 8
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS rn, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS first_doc_id
+  FROM n WHERE len(string_split(norm, ' ')) >= 8
+), c AS (
+  SELECT *, min(j) OVER (PARTITION BY doc_id, i) AS least FROM u WHERE rn > 1
 )
-SELECT doc_id, start, CAST(start + length(line) AS BIGINT) AS "end", first_doc_id FROM u WHERE rn > 1
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(part) AS BIGINT) AS "end", first_doc_id FROM c WHERE j = least OR least > 0
 """
 }
