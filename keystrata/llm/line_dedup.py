@@ -117,10 +117,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated units; a document that loses every unit goes."""
+    """Pipeline stage: texts without their repeated units, n_chars as they are now; a document that loses every unit goes."""
     done = dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
-    return done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("kept_text")).select(*docs.columns)
+    left = done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("kept_text"))
+    if dict(docs.dtypes).get("n_chars") == "bigint":
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 SQL = {
