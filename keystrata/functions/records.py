@@ -64,3 +64,10 @@ def generated(spark, count: int, offset: int = 0, config: SortConfig = DEFAULT)
     ids = spark.range(offset, offset + count)
     key = F.substring(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))), 1, config.key_length)
     return ids.select("id", record_from(key, F.col("id").cast("string"), config).alias("record"))
+
+
+def demo(spark, count: int = 10, config: SortConfig = DEFAULT) -> DataFrame:
+    """Records to look at: the number as a big-endian key, a readable message as the value."""
+    ids = spark.range(count)
+    key = numeric_key((F.col("id"), config.key_length))
+    return ids.select("id", record_from(key, F.concat(F.lit("Record number "), F.col("id").cast("string")), config).alias("record"))

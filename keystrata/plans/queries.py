@@ -14,6 +14,7 @@ from ..operators import catalog as C
 from ..operators import pivots as P
 from ..operators import sampling as S
 from ..operators import sort as O
+from ..operators import transfer as T
 from ..operators import validate as V
 from ..sources import fixedrec as X
 
@@ -297,6 +298,23 @@ def generate_records(spark, sf_dir):
     return R.generated(spark, 1000, offset=500).select("id", F.hex(R.key_of(F.col("record"))).alias("key_hex"), R.to_ascii(R.value_of(F.col("record"))).alias("value"))
 
 
+def demo_records(spark, sf_dir):
+    return R.demo(spark).select("id", F.hex(R.key_of(F.col("record"))).alias("key_hex"), R.to_ascii(R.value_of(F.col("record"))).alias("value"))
+
+
+def _arrived():
+    """A simulated outcome of each run's transfer."""
+    return (F.col("i") * 7 + F.col("j") * 3 + F.col("k")) % 5 != 0
+
+
+def transfer_tally(spark, sf_dir):
+    return T.tally(C.expected_runs(_files(spark, sf_dir), W), _arrived())
+
+
+def failures_by_source(spark, sf_dir):
+    return T.failures_by_source(C.expected_runs(_files(spark, sf_dir), W), _arrived())
+
+
 def _write_inputs(spark, lines, where):
     """Two folders of unsorted record files."""
     config = SortConfig(chunk_bytes=50_000)
@@ -326,7 +344,7 @@ QUERIES = {
         global_sort, sort_text_key, sort_event_key, range_sort, spread_sort, key_value_projection, record_count, multi_source_union, head_sample, hash_sample, bernoulli_sample, sampling_ratio,
         sample_sort, select_pivots, select_pivots_few, padded_pivots, range_partition, partition_histogram, local_sort_runs, run_names, run_catalog, needed_runs, full_catalog, exchange,
         kway_merge, multi_pass_merge, merge_plan, chunk_split, validate_order, validate_unsorted, validate_summary, validate_range, conservation, checksum, crc_checksum, min_max_key,
-        phase_counters, view_hex, view_ascii, view_detailed, view_topk, generate_records, file_roundtrip, sort_files,
+        phase_counters, view_hex, view_ascii, view_detailed, view_topk, generate_records, demo_records, transfer_tally, failures_by_source, file_roundtrip, sort_files,
     )
 }
 
@@ -395,6 +413,9 @@ ORACLE_SQL = {
     "view_detailed": f"WITH {_L} SELECT lower(key_hex) AS key_hex, lower(value_hex) AS value_hex, value AS value_ascii FROM l",
     "view_topk": f"WITH {_L}, t AS (SELECT *, row_number() OVER (ORDER BY key_hex, {_T}) - 1 AS n FROM l) SELECT CAST(n AS VARCHAR) || ': ' || lower(key_hex) || ' ' || value AS line FROM t WHERE n < 20",
     "generate_records": "SELECT id, upper(substr(md5(CAST(id AS VARCHAR)), 1, 20)) AS key_hex, rpad(CAST(id AS VARCHAR), 90, ' ') AS value FROM (SELECT unnest(generate_series(500, 1499)) AS id) g",
+    "demo_records": "SELECT id, lpad(hex(id), 20, '0') AS key_hex, rpad('Record number ' || CAST(id AS VARCHAR), 90, ' ') AS value FROM (SELECT unnest(generate_series(0, 9)) AS id) g",
+    "transfer_tally": f"WITH {_RUNS} SELECT CAST(sum(CASE WHEN (i * 7 + j * 3 + k) % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_success, CAST(sum(CASE WHEN (i * 7 + j * 3 + k) % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failure FROM c",
+    "failures_by_source": f"WITH {_RUNS} SELECT i, count(*) AS n_failure FROM c WHERE (i * 7 + j * 3 + k) % 5 = 0 GROUP BY i",
     "file_roundtrip": f"WITH {_L} SELECT key_hex, value_hex FROM l",
     "sort_files": f"WITH {_L}, {_R}, k AS (SELECT pid, key_hex, row_number() OVER (PARTITION BY pid ORDER BY key_hex) - 1 AS n FROM r) "
     f"SELECT CAST(pid + 1 AS INTEGER) AS worker, CAST(n // {PER_CHUNK} + 1 AS INTEGER) AS file, CAST(n % {PER_CHUNK} AS BIGINT) AS pos, key_hex FROM k",

@@ -120,3 +120,14 @@ def test_bernoulli_size(spark):
     df = spark.range(10_000)
     sizes = [S.bernoulli_sample(df, 0.01, seed).count() for seed in range(20)]
     assert 80 < sum(sizes) / len(sizes) < 120
+
+
+def test_exchange_settings():
+    from keystrata.operators.transfer import exchange_settings
+
+    assert exchange_settings("limited")["spark.reducer.maxReqsInFlight"] == "10"
+    assert exchange_settings("sequential")["spark.reducer.maxReqsInFlight"] == "1"
+    assert exchange_settings("per_source", 2)["spark.reducer.maxBlocksInFlightPerAddress"] == "2"
+    assert exchange_settings() == {"spark.network.timeout": "120s"}
+    with pytest.raises(ValueError):
+        exchange_settings("other")
