@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_sentencepiece": spiece.op10_sentencepiece,
 }
-ORACLE_SQL = {**topk.SQL, **line_dedup.SQL, **jaccard_join.SQL, **decontam.SQL}
+ORACLE_SQL = {**topk.SQL, **line_dedup.SQL, **jaccard_join.SQL, **warc.SQL}

@@ -228,4 +228,21 @@ def read_warc(segments: DataFrame, payloads: bool = True) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut(arc_to_warc(to_arc(table(spark, sf_dir, "pages"))), "warc")
-    return read_warc(archives, payloads=False).drop("payload", "url")
+    return read_warc(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = {
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, sha1(encode(COALESCE(html, ''))) AS h, octet_length(encode(COALESCE(html, ''))) AS n FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM m
+"""
+}
