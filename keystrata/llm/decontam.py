@@ -36,24 +36,26 @@ BROADCAST_WINDOWS = 250_000
 
 #: The units that count as such after a number.
 UNITS = "km|m|cm|mm|mi|miles?|meters?|metres?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|kmh|mph|degrees?"
-_NUM, _NAME, _UNIT = "\ue001", "\ue002", "\ue003"
-_MARKS = f"[{_NUM}{_NAME}{_UNIT}]"
+#: Every placeholder begins with _SLOT, then its type: one search tells whether a window has any.
+_SLOT, _NUM, _NAME, _UNIT = "\ue000", "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
+_PLACEHOLDER = "\ue000[\ue001-\ue003]"
 
 
 def canonical(text: Column) -> Column:
-    """Words separated by one space and with one after the last; a placeholder is a mark and the value that it stands for."""
-    marked = F.regexp_replace(text, r"(?<=\p{Ll} )(\p{Lu}\p{Ll}+)", f"{_NAME}$1")
-    marked = F.regexp_replace(marked, r"(\d+(?:[.,]\d+)*)(?: ?(%|" + UNITS + r")(?![\p{L}\p{N}]))?", f" {_NUM}$1 {_UNIT}$2 ")
-    marked = F.regexp_replace(marked, rf"{_UNIT} ", "")
-    return F.concat(F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}%{_NUM}{_NAME}{_UNIT}.,]+|[.,](?!\d)|(?<!\d)[.,]", " ")), F.lit(" "))
+    """Words separated by one space and with one after the last; a placeholder is its marks and the value that it stands for."""
+    marked = F.regexp_replace(text, r"(?<=\p{Ll} )(?=\p{Lu}\p{Ll})", _NAME)
+    marked = F.regexp_replace(marked, r"(\d+)(?: ?(%|" + UNITS + r")(?![\p{L}\p{N}]))", f" {_NUM}$1 {_UNIT}$2 ")
+    marked = F.regexp_replace(marked, rf"(?<![{_SLOT}\ue001\d])(\d+)", f" {_NUM}$1 ")
+    return F.concat(F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}%\ue000-\ue003]+", " ")), F.lit(" "))
 
 
 def template(window: Column) -> Column:
-    return F.when(window.rlike(_MARKS), F.regexp_replace(window, rf"({_MARKS})[^ ]*", "$1")).otherwise(window)
+    return F.when(F.contains(window, F.lit(_SLOT)), F.regexp_replace(window, rf"({_PLACEHOLDER})[^ ]*", "$1")).otherwise(window)
 
 
 def slots(window: Column) -> Column:
-    return F.when(window.rlike(_MARKS), F.regexp_extract_all(window, F.lit(rf"({_MARKS}[^ ]*)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(window, F.lit(rf"({_PLACEHOLDER}[^ ]*)"), F.lit(1))
+    return F.when(F.contains(window, F.lit(_SLOT)), found).otherwise(F.array().cast("array<string>"))
 
 
 def windows_of(text: Column, words: int) -> Column:
@@ -63,15 +65,20 @@ def windows_of(text: Column, words: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, w (its window length), window, template and n (its distinct templates)."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", canonical(F.col("text")).alias("c"))
-    items = items.withColumn("words", F.size(F.split(F.trim("c"), " ")))
+    """item_id, w (its window length), at (the window's place), n (its windows), window and template.
+
+    A window has up to three forms: as it stands, in lower case without names, and
+    as inside a sentence, where a capitalised first word is a name. A document has
+    one form, so copies in another case or place are met too.
+    """
+    texts = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    inside = F.regexp_replace(canonical(F.concat(F.lit("x "), F.col("text"))), "^x ", "")
+    forms = texts.select("item_id", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text")), inside))).alias("c"))
+    items = forms.withColumn("words", F.size(F.split(F.trim("c"), " ")))
     w = F.least(F.col("words"), F.lit(WINDOW))
-    long = F.col("words") >= WINDOW
-    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", w.alias("w"), F.explode(F.when(long, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))).alias("window"))
-    rows = rows.withColumn("template", template(F.col("window"))).dropDuplicates(["item_id", "window"])
-    totals = rows.groupBy("item_id").agg(F.countDistinct("template").alias("n")).withColumnRenamed("item_id", "n_item")
-    return rows.join(totals, F.col("item_id").eqNullSafe(F.col("n_item"))).drop("n_item")
+    some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
+    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
+    return rows.withColumn("template", template(F.col("window"))).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,13 +94,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
     side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
     met = found.join(side, (F.col("dh") == F.col("h")) & (template(F.col("doc_window")) == F.col("template")))
-    pairs = met.select("doc_id", "item_id", "n", "h", F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now")).alias("slots")).distinct()
+    pairs = met.select("doc_id", "item_id", "n", "at", F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now")).alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
     same = F.forall("slots", lambda s: s["was"] == s["now"])
     summed = pairs.groupBy("doc_id", "item_id").agg(
         F.max("n").alias("n"),
-        F.countDistinct("h").alias("n_windows"),
-        F.countDistinct(F.when(same, F.col("h"))).alias("n_same"),
+        F.countDistinct("at").alias("n_windows"),
+        F.countDistinct(F.when(same, F.col("at"))).alias("n_same"),
         F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))
@@ -114,5 +121,3 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti").select(*docs.columns)
 
-
-SQL: dict[str, str] = {}
