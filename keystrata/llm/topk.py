@@ -18,7 +18,8 @@ query's whole list: lists merge by group first and then by query, k entries each
 Edge cases: vectors that are null or hold null, NaN or infinite components take
 no part, nor do rows without an id; vectors of unequal length are never compared;
 a candidate with the query's own id is left out; repeated candidate rows each
-count, repeated query rows count once; an empty table gives an empty result.
+count, repeated query rows count once; scores beyond 64 bits are an error; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

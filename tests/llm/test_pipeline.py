@@ -29,5 +29,9 @@ def test_matches_sql(spark, name):
     for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, DATA).toPandas()
-    rows = lambda d: sorted(map(str, d[sorted(want.columns)].astype(object).itertuples(index=False, name=None)))
+
+    def rows(d):
+        d = d[sorted(want.columns)]
+        return sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
+
     assert rows(got) == rows(want)
