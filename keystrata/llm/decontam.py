@@ -8,8 +8,12 @@ question asked again with other numbers, names or units still meets its item.
 
 A (document, item) pair is a leak if the windows found cover at least COVERAGE of
 the item's windows and the slots are consistent: each benchmark value is always
-replaced by one value. Pairs whose slots disagree are kept only if enough windows
-without any slot, or with unchanged values, match on their own.
+replaced by one value. Where slots disagree, only windows without any slot, or with
+unchanged values, count. This is judged for each occurrence of the item in the
+document (windows at one shift, document place minus item place; and windows at
+neighbouring shifts, as values of several words move what follows) and for the pair
+as a whole, whose windows may be scattered; the best of these counts, so an item
+asked twice with different values is met.
 
 Items shorter than WINDOW words use one window of their own length, with at least
 MIN_WORDS words. The benchmark side is broadcast only if its windows, counted
@@ -23,7 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -65,22 +69,33 @@ def windows_of(text: Column, words: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, w (its window length), at (the window's place), n (its windows), window and template.
+    """item_id, item_key, w (its window length), at (the window's place), n (its windows), window and template.
 
     A window has up to three forms: as it stands, in lower case without names, and
     as inside a sentence, where a capitalised first word is a name. A document has
     one form, so copies in another case or place are met too.
     """
-    texts = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    texts = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text")
     inside = F.regexp_replace(canonical(F.concat(F.lit("x "), F.col("text"))), "^x ", "")
-    forms = texts.select("item_id", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text")), inside))).alias("c"))
+    forms = texts.select("item_id", "item_key", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text")), inside))).alias("c"))
     items = forms.withColumn("words", F.size(F.split(F.trim("c"), " ")))
     w = F.least(F.col("words"), F.lit(WINDOW))
     some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
-    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
+    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", "item_key", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
     return rows.withColumn("template", template(F.col("window"))).distinct()
 
 
+def occurrences(pairs: DataFrame) -> DataFrame:
+    """Every row once for each group that it is judged in: its shift, its run of near shifts, its pair."""
+    by_shift = Window.partitionBy("doc_id", "text_key", "item_id", "item_key").orderBy("shift")
+    # Copies side by side are an item's length apart, so nearer shifts than half of it are one copy's.
+    far = F.col("shift") - F.col("last") > (F.col("n") + F.col("w") - 1) / 2
+    rows = pairs.withColumn("last", F.lag("shift").over(by_shift)).withColumn("run", F.count(F.when(far, 1)).over(by_shift))
+    group = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), *(k.cast("long").alias(f"k{i}") for i, k in enumerate(key)))
+    text, item, none = F.col("text_key"), F.col("item_key"), F.lit(None)
+    return rows.withColumn("occurrence", F.explode(F.array(group(0, none, none, none), group(1, text, item, F.col("shift")), group(2, text, item, F.col("run")))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, n_windows, changed_slots of every leak."""
     items = item_windows(benchmark.select("item_id", "text")).withColumn("h", F.xxhash64("template"))
@@ -88,27 +103,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for row in items.groupBy("w").count().collect():  # at most WINDOW rows
         lengths.append(row["w"])
         n += row["count"]
-    text = docs.where(F.col("text").isNotNull()).select("doc_id", canonical(F.col("text")).alias("c"))
+    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
     parts = [windows_of(F.col("c"), w) for w in sorted(lengths)] or [F.array().cast("array<string>")]
-    found = text.select("doc_id", F.explode(F.concat(*parts)).alias("doc_window"))
+    # An item has one window length, so places need only be right among windows of one length.
+    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*parts)).alias("place", "doc_window"))
     found = found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
     side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
     met = found.join(side, (F.col("dh") == F.col("h")) & (template(F.col("doc_window")) == F.col("template")))
-    pairs = met.select("doc_id", "item_id", "n", "at", F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now")).alias("slots")).distinct()
+    zipped = F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now"))
+    pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
     same = F.forall("slots", lambda s: s["was"] == s["now"])
-    summed = pairs.groupBy("doc_id", "item_id").agg(
+    summed = occurrences(pairs).groupBy("doc_id", "item_id", "occurrence").agg(
         F.max("n").alias("n"),
-        F.countDistinct("at").alias("n_windows"),
-        F.countDistinct(F.when(same, F.col("at"))).alias("n_same"),
+        F.size(F.collect_set("at")).alias("n_windows"),
+        F.size(F.collect_set(F.when(same, F.col("at")))).alias("n_same"),
         F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))
     counted = F.when(consistent, F.col("n_windows")).otherwise(F.col("n_same"))
+    changed = F.size(F.filter("slots", lambda s: s["was"] != s["now"]))
+    passed = summed.withColumn("coverage", counted / F.col("n")).where(F.col("coverage") >= COVERAGE)
+    best = F.max(F.struct("coverage", counted.cast("long").alias("n_windows"), (-changed).alias("kept")))
     return (
-        summed.withColumn("coverage", counted / F.col("n"))
-        .where(F.col("coverage") >= COVERAGE)
-        .select("doc_id", "item_id", "coverage", counted.cast("long").alias("n_windows"), F.size(F.filter("slots", lambda s: s["was"] != s["now"])).alias("changed_slots"))
+        passed.groupBy("doc_id", "item_id")
+        .agg(best.alias("best"))
+        .select("doc_id", "item_id", "best.coverage", "best.n_windows", (-F.col("best.kept")).alias("changed_slots"))
     )
 
 

@@ -208,6 +208,31 @@ def test_decontamination(spark):
     assert D.leaks(df.where("doc_id < 0"), bench).count() == 0 and D.leaks(df, bench.where("item_id < 0")).count() == 0
 
 
+PENS = "If 900 pens cost 450 dollars how much does one pen cost?"
+
+
+def met(spark, items, docs):
+    """{doc: coverage} of the leaks of numbered items and documents."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {r.doc_id: r.coverage for r in D.leaks(df, bench).collect()}
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    one, two = (PENS.replace("900", a).replace("450", b) for a, b in [("30", "60"), ("50", "80")])
+    long = "Then Tom gave 5 apples to Ann and after that Tom gave 7 pears to Ann so how many does Tom have"
+    wide = [long.replace("Tom", a).replace("5", b) for a, b in [("Mary Ann Lee", "8"), ("Bob", "9")]]
+    got = met(spark, [PENS, long], [one, two, f"{one} {two}", f"{one}\n{'more words ' * 30}\n{two}", "so then " + wide[0] + ". " + wide[1], one.replace("one pen", "60 pens")])
+    assert {k: got.get(k) for k in (0, 1, 2, 3)} == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert 4 in got and 5 not in got
+
+
+def test_decontamination_same_id_other_text(spark):
+    df = spark.createDataFrame([(1, PENS.replace("900", "30")), (1, PENS.replace("900", "50"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, PENS)], "item_id long, text string")
+    assert [(r.coverage, r.n_windows, r.changed_slots) for r in D.leaks(df, bench).collect()] == [(1, 5, 1)]
+
+
 def test_decontamination_shuffles_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     text = " ".join(f"word{chr(97 + k)}" for k in range(20))
