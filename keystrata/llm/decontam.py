@@ -43,14 +43,17 @@ UNITS = "km|m|cm|mm|mi|miles?|meters?|metres?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|p
 #: Every placeholder begins with _SLOT, then its type: one search tells whether a window has any.
 _SLOT, _NUM, _NAME, _UNIT = "\ue000", "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
 _PLACEHOLDER = "\ue000[\ue001-\ue003]"
+#: A decimal or thousands mark, so that a number is one value.
+_POINT = "\ue004"
 
 
 def canonical(text: Column) -> Column:
     """Words separated by one space and with one after the last; a placeholder is its marks and the value that it stands for."""
     marked = F.regexp_replace(text, r"(?<=\p{Ll} )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(marked, r"(\d+)(?: ?(%|" + UNITS + r")(?![\p{L}\p{N}]))", f" {_NUM}$1 {_UNIT}$2 ")
-    marked = F.regexp_replace(marked, rf"(?<![{_SLOT}\ue001\d])(\d+)", f" {_NUM}$1 ")
-    return F.concat(F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}%\ue000-\ue003]+", " ")), F.lit(" "))
+    marked = F.regexp_replace(marked, r"[.,](?<=\d.)(?=\d)", _POINT)
+    marked = F.regexp_replace(marked, rf"(\d[\d{_POINT}]*)(?: ?(%|{UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUM}$1 {_UNIT}$2 ")
+    marked = F.replace(marked, F.lit(f"{_UNIT} "), F.lit(""))
+    return F.concat(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue004]+", " ")), F.lit(" "))
 
 
 def template(window: Column) -> Column:

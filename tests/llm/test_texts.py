@@ -227,6 +227,14 @@ def test_decontamination_judges_each_occurrence(spark):
     assert 4 in got and 5 not in got
 
 
+def test_decontamination_whole_numbers(spark):
+    steps = "Every step of the long stair rises 2 cm and all 40 steps together rise 80 cm"
+    got = met(spark, [PENS, steps], [PENS.replace("450", "1,250"), PENS.replace("450", "12.50"), "here: " + steps.replace("2 cm", "2.5 cm").replace("80", "1.250,75")])
+    assert got == {0: 1, 1: 1, 2: 1}
+    c = spark.range(1).select(D.canonical(F.lit("v1.5, 3%. 7 km,8;9.x")).alias("c")).first().c
+    assert c.split() == ["v", f"{D._NUM}1{D._POINT}5", f"{D._NUM}3", f"{D._UNIT}%", f"{D._NUM}7", f"{D._UNIT}km", f"{D._NUM}8", f"{D._NUM}9", "x"]
+
+
 def test_decontamination_same_id_other_text(spark):
     df = spark.createDataFrame([(1, PENS.replace("900", "30")), (1, PENS.replace("900", "50"))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, PENS)], "item_id long, text string")
