@@ -9,6 +9,13 @@ its offsets in the original text kept. Units of fewer than MIN_WORDS words are
 never removed: short ones repeat in clean prose. What is removed inside a removed
 line is part of that line's span.
 
+The pipeline's stage judges length on runs instead (`run_repeats`): consecutive
+units, short ones too and over line breaks, are joined up to MIN_WORDS, forward from
+each unit and backward from each, and all units of a run met before are removed. So a
+passage of short lines or sentences goes whole. Where words have no blanks between
+them, two characters count as a word and sentences end at their own full stops too. The
+query stays with single units, as its SQL says.
+
 The corpus-wide steps move one narrow row for each unit; counts and minima are
 combined before the shuffle, so a unit that a third of the documents share costs
 a row for each task. Texts move once, and only when they are rewritten.
@@ -88,10 +95,74 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return kept.select("doc_id", "text_key", "start", "end", "first_doc_id")
 
 
+#: Scripts that set no blanks between words.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
+def fine_sentences(line: Column) -> Column:
+    """As sentences(), and full stops that no space follows in Chinese and Japanese."""
+    return F.split(line, r"(?<=[.!?] |[。！？])")
+
+
+def _words(norm: Column) -> Column:
+    """Words of a normalised unit that is not empty; two characters of an unspaced script are one."""
+    blanks = F.size(F.split(norm, " "))
+    # Such characters take three bytes.
+    return F.when(F.octet_length(norm) - F.length(norm) < 2, blanks).otherwise(F.greatest(blanks, F.floor(F.regexp_count(norm, F.lit(_UNSPACED)) / 2).cast("int")))
+
+
+def _runs(parts: Column, backward: bool) -> Column:
+    """From each part, the shortest run of parts that has MIN_WORDS: its units and digest. No part is empty, so MIN_WORDS parts are enough."""
+
+    def run(_: Column, i: Column) -> Column:
+        i = i.cast("int")
+        first = F.greatest(i - (MIN_WORDS - 1), F.lit(0)) if backward else i
+        near = F.slice(parts, first + 1, F.least(i + 1 - first, F.lit(MIN_WORDS)) if backward else F.lit(MIN_WORDS))
+        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+        more = lambda got, x: F.when(got["words"] >= MIN_WORDS, got).otherwise(F.struct((got["words"] + x["words"]).alias("words"), (got["n"] + 1).alias("n")))
+        enough = F.aggregate(F.reverse(near) if backward else near, zero, more, lambda got: F.when(got["words"] >= MIN_WORDS, got["n"]).otherwise(0))
+        return F.slice(near, -F.greatest(enough, F.lit(1)) if backward else F.lit(1), enough)
+
+    found = F.transform(parts, lambda x, i: F.when(x["words"] >= MIN_WORDS, F.array(x)).otherwise(run(x, i)))
+    # Backward, a run that falls short without its last part is a forward one too.
+    new = lambda r: F.aggregate(F.slice(r, 1, F.size(r) - 1), F.lit(0), lambda a, x: a + x["words"]) >= MIN_WORDS
+    return F.filter(found, lambda r: (F.size(r) > 1) & new(r) if backward else F.size(r) > 0)
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, unit (the first), all (its units) and digest of every run that dedup looks at."""
+
+    def parts(line: Column, i: Column) -> Column:
+        norms = F.transform(fine_sentences(line), lambda p, j: F.struct((i.cast("long") * PLACE + j + 1).alias("unit"), normalised(p).alias("norm")))
+        return F.transform(F.filter(norms, lambda x: x["norm"] != ""), lambda x: F.struct(x["unit"], F.xxhash64(x["norm"]).alias("hash"), F.length(x["norm"]).alias("length"), _words(x["norm"]).alias("words")))
+
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.flatten(F.transform(F.split("text", "\n"), parts)).alias("parts"))
+    both = rows.select("doc_id", "text_key", F.explode(F.concat(_runs(F.col("parts"), False), _runs(F.col("parts"), True))).alias("run"))
+    digest = F.struct(F.xxhash64("run.hash").alias("hash"), F.aggregate("run.length", F.lit(0), lambda a, x: a + x).alias("length"))
+    return both.select("doc_id", "text_key", F.col("run")[0]["unit"].alias("unit"), F.col("run.unit").alias("all"), digest.alias("digest"))
+
+
+def run_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and unit of every unit in a run that is not the earliest of its digest."""
+    found = runs(docs.select("doc_id", "text"))
+    groups = found.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = found.join(groups, "digest").where(_place() != F.col("first"))
+    return later.select("doc_id", "text_key", F.explode("all").alias("unit"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs' rows with `kept_text` and `n_removed`, the units that were cut."""
+    return _without(docs, repeats(docs), sentences)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """As dedup_lines, with the units of repeated runs cut."""
+    return _without(docs, run_repeats(docs), fine_sentences)
+
+
+def _without(docs: DataFrame, found: DataFrame, parts) -> DataFrame:
     cuts = (
-        repeats(docs)
+        found
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set("unit").alias("__cuts"))
         .withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key"})
@@ -103,7 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def rest(line: Column, i: Column) -> Column:
         """The line without its cut sentences; null if it goes whole."""
         at = i.cast("long") * PLACE
-        left = F.filter(sentences(line), lambda _, j: ~is_cut(at + j + 1))
+        left = F.filter(parts(line), lambda _, j: ~is_cut(at + j + 1))
         return F.when(is_cut(at), F.lit(None)).when(F.size(left) == 0, F.lit(None)).otherwise(F.array_join(left, ""))
 
     kept = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), rest)), "\n")
@@ -117,8 +188,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated units, n_chars as they are now; a document that loses every unit goes."""
-    done = dedup_lines(docs)
+    """Pipeline stage: texts without their repeated runs of units, n_chars as they are now; a document that loses every unit goes."""
+    done = dedup_runs(docs)
     emptied = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
     left = done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("kept_text"))
     if dict(docs.dtypes).get("n_chars") == "bigint":

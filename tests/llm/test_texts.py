@@ -184,6 +184,49 @@ def test_line_dedup_same_id_other_text(spark):
     assert done == sorted([line, "keep me", "another text\nof this id"])
 
 
+def brute_runs(rows):
+    """Each (doc, text)'s text without the units of repeated runs."""
+    import re
+
+    places, texts = {}, {}
+    for doc, text in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = [re.split(r"(?<=[.!?] )|(?<=[。！？])", line) for line in text.split("\n")]
+        units = [(i, j, " ".join(p.split()).lower()) for i, line in enumerate(lines) for j, p in enumerate(line)]
+        units = [(u, len(re.findall(r"[\u3040-\u9fff]", u[2])) // 2) for u in units if u[2]]
+        units = [(u, max(n, len(u[2].split(" ")))) for u, n in units]
+        texts[doc, text] = lines
+        for a in range(len(units)):
+            for b in range(a, len(units)):
+                inside = units[a : b + 1]
+                if sum(n for _, n in inside) < 8:
+                    continue
+                if sum(n for _, n in inside[1:]) < 8 or sum(n for _, n in inside[:-1]) < 8:
+                    places.setdefault(tuple(u[2] for u, _ in inside), []).append((doc, text, [u[:2] for u, _ in inside]))
+    cut = {(doc, text, u) for met in places.values() for doc, text, us in met[1:] for u in us}
+    left = {}
+    for (doc, text), lines in texts.items():
+        kept = [[p for j, p in enumerate(line) if (doc, text, (i, j)) not in cut] for i, line in enumerate(lines)]
+        left[doc, text] = "\n".join("".join(k) for k in kept if k)
+    return left
+
+
+def test_runs_of_short_units(spark):
+    r = random.Random(9)
+    notice = "\n".join(prose(r, "en", r.randint(1, 5)) + f" {k}" for k in range(20))
+    verse = "".join(prose(r, "de", r.randint(2, 10)).capitalize() + f"{k}. " for k in range(12))
+    chinese = "今天的天气非常好。我们一起去公园散步吧！晚上再回家吃饭。"
+    short = [prose(r, "fr", r.randint(1, 4)) for _ in range(6)]
+    rows = [(1, notice), (2, f"own words of two\n{notice}\nown end"), (3, verse), (4, f"Own start. {verse}Own end."), (5, chinese), (6, "我先说一句。" + chinese), (7, "two words\n\nin common"), (8, "two words\nin common")]
+    rows += [(20 + k, r.choice(["\n", "\n\n", ". "]).join(r.choice(short) for _ in range(r.randint(1, 12)))) for k in range(30)] + [(None, verse), (90, None), (91, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = brute_runs(rows)
+    done = {(x.doc_id, x.text): x.kept_text for x in N.dedup_runs(df).collect()}
+    assert len(done) == len(rows) and all(v == left.get(k) for k, v in done.items())
+    kept = {x.doc_id: x.text for x in N.stage(spark, df, "").collect()}
+    assert kept[2] == "own words of two\nown end" and kept[4] == "Own start. Own end." and kept[6] == "我先说一句。"
+    assert kept[8] == "two words\nin common" and None not in kept and kept[1] == notice and kept[3] == verse
+
+
 def test_decontamination(spark):
     items = [(1, "Alice drove 120 km in 2 hours and then rested for 30 minutes before she drove back"), (2, "What is the capital of France?"), (3, None), (4, ""), (5, "tiny"), (6, "Compare the two 4 and 4 with one more number 5 in this long sentence of ours")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
