@@ -1,11 +1,17 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions alone.
 
 Texts are canonicalised: numbers, units after numbers, and names (capitalised
-words after a lower-case word) become typed placeholders that carry the replaced
+words) become typed placeholders that carry the replaced
 value, everything else is lower-cased words. Every window of WINDOW words of every
 document is hash-joined with the benchmark's windows on the template alone, so a
 question asked again with other numbers, names or units still meets its item.
 
+A capitalised word after a lower-case word is a name. In any other place (the
+beginning of a sentence or line, after a comma, quote, number or full stop) it may be
+one: documents have both forms of such a window, with all of these words as names and
+with none; item windows have every choice. Pairs are judged with the first kind of
+document windows and without, so that a changed first word that is no name loses none.
+
 A (document, item) pair is a leak if the windows found cover at least COVERAGE of
 the item's windows and the slots are consistent: each benchmark value is always
 replaced by one value. Where slots disagree, only windows without any slot, or with
@@ -43,17 +49,23 @@ UNITS = "km|m|cm|mm|mi|miles?|meters?|metres?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|p
 #: Every placeholder begins with _SLOT, then its type: one search tells whether a window has any.
 _SLOT, _NUM, _NAME, _UNIT = "\ue000", "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
 _PLACEHOLDER = "\ue000[\ue001-\ue003]"
+#: Stands before a word that may be a name.
+_SOFT = "\ue005"
 #: A decimal or thousands mark, so that a number is one value.
 _POINT = "\ue004"
 
 
 def canonical(text: Column) -> Column:
-    """Words separated by one space and with one after the last; a placeholder is its marks and the value that it stands for."""
+    """Words separated by one space and with one after the last; a placeholder is its marks and the value that it stands for.
+
+    A word that may be a name has _SOFT before it.
+    """
     marked = F.regexp_replace(text, r"(?<=\p{Ll} )(?=\p{Lu}\p{Ll})", _NAME)
+    marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\ue002])", _SOFT)
     marked = F.regexp_replace(marked, r"[.,](?<=\d.)(?=\d)", _POINT)
     marked = F.regexp_replace(marked, rf"(\d[\d{_POINT}]*)(?: ?(%|{UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUM}$1 {_UNIT}$2 ")
     marked = F.replace(marked, F.lit(f"{_UNIT} "), F.lit(""))
-    return F.concat(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue004]+", " ")), F.lit(" "))
+    return F.concat(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue005]+", " ")), F.lit(" "))
 
 
 def template(window: Column) -> Column:
@@ -71,32 +83,42 @@ def windows_of(text: Column, words: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?=((?:[^ ]+ ){{{words}}}))[^ ]+ "), F.lit(1))
 
 
+def _choices(window: Column) -> Column:
+    """The window's forms, each word that may be a name taken as one and as none."""
+    head, first = rf"^([^{_SOFT}]*){_SOFT}", lambda v, to: F.regexp_replace(v, head, f"$1{to}")
+    marks = F.regexp_extract_all(window, F.lit(f"({_SOFT})"), F.lit(1))
+    return F.aggregate(marks, F.array(window), lambda got, _: F.concat(F.transform(got, lambda v: first(v, "")), F.transform(got, lambda v: first(v, _NAME))))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, item_key, w (its window length), at (the window's place), n (its windows), window and template.
 
-    A window has up to three forms: as it stands, in lower case without names, and
-    as inside a sentence, where a capitalised first word is a name. A document has
-    one form, so copies in another case or place are met too.
+    A window has the forms of _choices and one in lower case without names, so
+    copies in another case or place are met too.
     """
     texts = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text")
-    inside = F.regexp_replace(canonical(F.concat(F.lit("x "), F.col("text"))), "^x ", "")
-    forms = texts.select("item_id", "item_key", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text")), inside))).alias("c"))
+    forms = texts.select("item_id", "item_key", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text"))))).alias("c"))
     items = forms.withColumn("words", F.size(F.split(F.trim("c"), " ")))
     w = F.least(F.col("words"), F.lit(WINDOW))
     some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
     rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", "item_key", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
+    rows = rows.withColumn("window", F.explode(_choices(F.col("window"))))
     return rows.withColumn("template", template(F.col("window"))).distinct()
 
 
 def occurrences(pairs: DataFrame) -> DataFrame:
-    """Every row once for each group that it is judged in: its shift, its run of near shifts, its pair."""
+    """Every row once for each group that it is judged in: its shift, its run of near shifts, its pair; each with and without form 1."""
     by_shift = Window.partitionBy("doc_id", "text_key", "item_id", "item_key").orderBy("shift")
     # Copies side by side are an item's length apart, so nearer shifts than half of it are one copy's.
     far = F.col("shift") - F.col("last") > (F.col("n") + F.col("w") - 1) / 2
     rows = pairs.withColumn("last", F.lag("shift").over(by_shift)).withColumn("run", F.count(F.when(far, 1)).over(by_shift))
-    group = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), *(k.cast("long").alias(f"k{i}") for i, k in enumerate(key)))
     text, item, none = F.col("text_key"), F.col("item_key"), F.lit(None)
-    return rows.withColumn("occurrence", F.explode(F.array(group(0, none, none, none), group(1, text, item, F.col("shift")), group(2, text, item, F.col("run")))))
+
+    def groups(forms: int) -> Column:
+        keys = [(none, none, none), (text, item, F.col("shift")), (text, item, F.col("run"))]
+        return F.array(*(F.struct(F.lit(3 * forms + kind).alias("kind"), *(k.cast("long").alias(f"k{i}") for i, k in enumerate(key))) for kind, key in enumerate(keys)))
+
+    return rows.withColumn("occurrence", F.explode(F.when(F.col("form") == 0, F.concat(groups(1), groups(2))).otherwise(groups(2))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -109,12 +131,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
     parts = [windows_of(F.col("c"), w) for w in sorted(lengths)] or [F.array().cast("array<string>")]
     # An item has one window length, so places need only be right among windows of one length.
-    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*parts)).alias("place", "doc_window"))
+    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*parts)).alias("place", "window"))
+    named = F.array(F.replace("window", F.lit(_SOFT), F.lit("")), F.replace("window", F.lit(_SOFT), F.lit(_NAME)))
+    both = F.when(F.contains("window", F.lit(_SOFT)), named).otherwise(F.array("window"))
+    found = found.select("doc_id", "text_key", "place", F.posexplode(both).alias("form", "doc_window"))
     found = found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
     side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
     met = found.join(side, (F.col("dh") == F.col("h")) & (template(F.col("doc_window")) == F.col("template")))
     zipped = F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now"))
-    pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
+    pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", "form", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
     same = F.forall("slots", lambda s: s["was"] == s["now"])
     summed = occurrences(pairs).groupBy("doc_id", "item_id", "occurrence").agg(

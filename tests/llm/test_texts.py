@@ -278,6 +278,22 @@ def test_decontamination_whole_numbers(spark):
     assert c.split() == ["v", f"{D._NUM}1{D._POINT}5", f"{D._NUM}3", f"{D._UNIT}%", f"{D._NUM}7", f"{D._UNIT}km", f"{D._NUM}8", f"{D._NUM}9", "x"]
 
 
+def test_decontamination_names_in_any_place(spark):
+    apples = "Tom has 5 red apples. Tom buys 3 more. Tom eats 2 of them. How many apples does Tom have left?"
+    doctor = 'Our street has two old doctors.\nSmith sees 5 ill people a day, "Smith" is a good man, Mr. Smith sees 3 more at night'
+    ann = apples.replace("Tom", "Ann")
+    docs = ["here it is. " + ann, "here it is: " + ann.replace(". How", "; how"), "it says " + ann + " Good.", "here. " + doctor.replace("Smith", "Jones") + " too", apples.lower(), apples.upper()]
+    docs += ["here it is. " + ann.replace(". How", ". Say how"), "Tom has a cat. Ann has a dog. How many pets do they have now?"]
+    got = met(spark, [apples, doctor], docs)
+    assert {k: got.get(k) for k in range(6)} == dict.fromkeys(range(6), 1)
+    assert got.get(6, 0) >= 0.5 and 7 not in got
+
+
+def test_decontamination_first_words_that_are_no_names(spark):
+    item = "If it rains 5 days the lake rises 7 cm over all. If it rains 9 days the lake rises by how much over all"
+    assert met(spark, [item], [item.replace("If it rains 5", "When it rains 6")])[0] > 0.5
+
+
 def test_decontamination_same_id_other_text(spark):
     df = spark.createDataFrame([(1, PENS.replace("900", "30")), (1, PENS.replace("900", "50"))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, PENS)], "item_id long, text string")
