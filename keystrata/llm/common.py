@@ -33,22 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut by a copy that survives executors."""
+    """Writes df to the shared folder and reads it back: lineage is cut by a copy that survives executors.
+
+    The copy goes with drop_cut(), or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keystrata-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a table made by cut()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/keystrata-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            where, fs = _file_system(df.sparkSession, f)
+            fs.delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(key: str, modulus: int):
