@@ -1,14 +1,17 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased and every run of other characters than letters becomes one
-space. N-grams of 1 to 3 characters are hashed into BUCKETS; the log-probability
-matrix (languages x buckets, float32) is broadcast and texts are scored in
+space. N-grams of 1 to 3 characters are hashed into buckets; the log-probability
+matrix (buckets x languages, float32) is broadcast and texts are scored in
 batches of code points, a sparse matrix product by gather and segmented sum.
+A long text is folded and scored in pieces that carry their last two code points
+over, so its n-grams are those of the whole text whatever the size of a piece.
 
 Training counts come from a sample of about TRAIN_DOCS documents a language,
-chosen by a hash of doc_id, whose partial counts are summed by Spark; the driver
-gets at most languages x BUCKETS numbers, and at most MAX_LANGUAGES languages,
-the most frequent, are learned. Scoring reads whole texts.
+chosen by a hash of the row, whose partial counts are summed by Spark. All
+languages are learned: the matrix has at most MATRIX_CELLS numbers, so more
+languages have fewer buckets, and more than fit at MIN_BUCKETS are an error.
+Scoring reads whole texts.
 
 Edge cases: null text, or text without a letter, gives `und` and score 0; with
 nothing to learn from, every text is `und`; repeated rows train as often as they
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, table
+from .common import fold, fresh, small_batches, table
 
-BUCKETS = 1 << 15
+#: Buckets of n-grams: as many as let the matrix of all languages have at most MATRIX_CELLS numbers (64 MB).
+MAX_BUCKETS, MIN_BUCKETS, MATRIX_CELLS = 1 << 15, 1 << 10, 1 << 24
 TRAIN_DOCS = 1500
-MAX_LANGUAGES = 200
 #: Code points that are scored at once.
 CHUNK = 1 << 19
 #: N-grams after which more text adds no more certainty: keeps scores of mixed texts away from 1.
@@ -56,63 +59,68 @@ def letter_table() -> np.ndarray:
     return _LETTER
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-case letters of a text with one space for each run between them, and one at either end."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ok = letter_table()[raw]
-    out = np.where(ok, raw, _SPACE)
-    keep = ok.copy()
-    keep[1:] |= ok[:-1]  # the first of each run of others
-    return np.concatenate([[_SPACE], out[keep], [_SPACE]]).astype(np.uint32)
-
-
-def hashed(cps: np.ndarray) -> np.ndarray:
-    """Buckets of all 1-, 2- and 3-grams of a run of code points, n-grams of one place together: shape (places, 3)."""
+def code_points(text: str, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """Lower-case letters of a text with one space for each run between them, and one at either end, in pieces.
+
+    Every piece has the two code points before it in front (zeros at the beginning). Nothing for a text without letters.
+    """
+    before = np.array([0, 0, _SPACE], np.uint32)
+    for k in range(0, len(text), size):
+        # Capital sigma is the one letter whose lower case depends on its neighbours.
+        low = text[k : k + size].replace("Σ", "σ").lower()
+        raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ok = letter_table()[raw]
+        keep = ok.copy()
+        keep[1:] |= ok[:-1]  # the first of each run of others
+        keep[0] |= before[-1] != _SPACE
+        piece = np.concatenate([before, np.where(ok, raw, _SPACE)[keep].astype(np.uint32)])
+        if k + size >= len(text) and piece[-1] != _SPACE:
+            piece = np.append(piece, _SPACE)
+        if len(piece) > len(before):
+            yield piece
+            before = piece[-2:]
+
+
+def hashed(cps: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the 1-, 2- and 3-grams that end at each code point but the first two, which only stand before: shape (places, 3)."""
     a = cps.astype(np.uint32)
-    one = a * np.uint32(0x9E3779B1)
-    two = one.copy()
-    two[1:] = (one[1:] ^ (a[:-1] * np.uint32(0x85EBCA77) + np.uint32(1))) * np.uint32(0xC2B2AE3D)
-    three = two.copy()
-    three[2:] = (two[2:] ^ (a[:-2] * np.uint32(0x27D4EB2F) + np.uint32(2))) * np.uint32(0x165667B1)
-    shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
+    one = a[2:] * np.uint32(0x9E3779B1)
+    two = (one ^ (a[1:-1] * np.uint32(0x85EBCA77) + np.uint32(1))) * np.uint32(0xC2B2AE3D)
+    three = (two ^ (a[:-2] * np.uint32(0x27D4EB2F) + np.uint32(2))) * np.uint32(0x165667B1)
+    shift = np.uint32(32 - (buckets.bit_length() - 1))
     return np.stack([x >> shift for x in (one, two, three)], 1)
 
 
-def _pieces(texts) -> Iterator[tuple[int, np.ndarray]]:
-    """(text number, code points) in pieces of at most CHUNK, that overlap so that no n-gram is lost."""
-    for i, t in enumerate(texts):
-        if t:
-            for k in range(0, len(t), CHUNK):
-                cps = code_points(t[max(0, k - 2) : k + CHUNK] if k else t[:CHUNK])
-                if len(cps) > 2:
-                    yield i, cps
-
-
 def log_likelihoods(texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts x languages) sums of log probabilities, and the number of n-grams; 0 of these: no letter."""
     sums, counts = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), np.int64)
     held: list[tuple[int, np.ndarray]] = []
     size = 0
+    # The gathered weights of a batch stay at a few dozen MB however many languages there are.
+    most = max(1 << 10, min(CHUNK, (1 << 23) // max(1, weights.shape[1])))
 
     def flush():
         nonlocal held, size
         if not held:
             return
         starts = np.cumsum([0] + [len(x) for _, x in held[:-1]])
-        cps = np.concatenate([x for _, x in held])
-        grams = hashed(cps)
-        per_place = weights[grams[:, 0]] + weights[grams[:, 1]] + weights[grams[:, 2]]
-        parts = np.add.reduceat(per_place, starts, axis=0)
+        grams = hashed(np.concatenate([x for _, x in held]), len(weights))
+        per_place = np.zeros((len(grams) + 2, weights.shape[1]), np.float32)
+        per_place[2:] = weights[grams[:, 0]] + weights[grams[:, 1]] + weights[grams[:, 2]]
+        per_place[starts] = 0  # what only stands before a piece
+        per_place[starts + 1] = 0
+        parts = np.add.reduceat(per_place, starts, axis=0, dtype=np.float64)
         for (i, x), p in zip(held, parts, strict=True):
             sums[i] += p
-            counts[i] += 3 * len(x)
+            counts[i] += 3 * (len(x) - 2)
         held, size = [], 0
 
-    for piece in _pieces(texts):
-        held.append(piece)
-        size += len(piece[1])
-        if size >= CHUNK:
-            flush()
+    for i, t in enumerate(texts):
+        for piece in code_points(t, min(CHUNK, most)) if t else ():
+            held.append((i, piece))
+            size += len(piece)
+            if size >= most:
+                flush()
     flush()
     return sums, counts
 
@@ -136,37 +144,54 @@ class Model:
         return ["und" if n else self.languages[b] for n, b in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
 
-def _count(batches):
+def _count(buckets: int):
     out = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
-    totals: dict[str, np.ndarray] = {}
-    for b in batches:
-        langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, cps in _pieces(texts):
-            totals.setdefault(langs[i], np.zeros(BUCKETS, np.int64))
-            totals[langs[i]] += np.bincount(hashed(cps).ravel(), minlength=BUCKETS)
-    for lang, n in totals.items():
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], schema=out)
+
+    def rows(totals):
+        for lang, n in totals.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], schema=out)
+
+    def run(batches):
+        totals: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lang, text in zip(langs, texts, strict=True):
+                for cps in code_points(text):
+                    n = totals.setdefault(lang, np.zeros(buckets, np.int64))
+                    n += np.bincount(hashed(cps, buckets).ravel(), minlength=buckets)
+                if len(totals) * buckets > MATRIX_CELLS // 8:
+                    yield from rows(totals)
+                    totals = {}
+        yield from rows(totals)
+
+    return run
 
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """A model of rows (doc_id, text, lang); rows without text or lang teach nothing."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / n)))])
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    most = MATRIX_CELLS // MIN_BUCKETS
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).toPandas()
+    if len(sizes) > most:
+        raise ValueError(f"over {most} languages: the matrix would be too large to broadcast")
+    if not len(sizes):
+        return Model([], np.zeros((MIN_BUCKETS, 0)), np.zeros(0))
+    buckets = min(MAX_BUCKETS, 1 << (MATRIX_CELLS // len(sizes)).bit_length() - 1)
+    sizes["share"] = np.minimum(1.0, train_docs / sizes["n"])
+    shares = labelled.sparkSession.createDataFrame(sizes[["lang", "share"]])  # a row for each language, of a checked number
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
+    small_batches(labelled.sparkSession)
+    counts = sample.mapInArrow(_count(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
-    matrix = np.zeros((BUCKETS, len(languages)))
-    for k, lang in enumerate(languages):
-        own = counts[counts["lang"] == lang]
-        matrix[own["bucket"].to_numpy(), k] = own["n"].to_numpy()
+    matrix = np.zeros((buckets, len(languages)))
+    column = {lang: k for k, lang in enumerate(languages)}
+    matrix[counts["bucket"].to_numpy(int), counts["lang"].map(column).to_numpy(int)] = counts["n"].to_numpy()
     p = (matrix + SMOOTHING) / (matrix + SMOOTHING).sum(0, keepdims=True)
-    total = sum(sizes[x] for x in languages)
-    return Model(languages, np.log(p), np.log([sizes[x] / total for x in languages]))
+    number = dict(zip(sizes["lang"], sizes["n"], strict=True))
+    total = sum(number[x] for x in languages)
+    return Model(languages, np.log(p), np.log([number[x] / total for x in languages]))
 
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
@@ -199,5 +224,6 @@ REJECT_BELOW = 0.4
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognised language go (no letters, or a score under REJECT_BELOW)."""
     model = fit(docs)
-    scored = docs.withColumn("__p", predicted(spark, model, F.col("text")))
-    return scored.where((F.col("__p.lang") != "und") & (F.col("__p.score") >= REJECT_BELOW)).select(*docs.columns)
+    p = fresh(docs, "predicted")
+    scored = docs.withColumn(p, predicted(spark, model, F.col("text")))
+    return scored.where((F.col(p)["lang"] != "und") & (F.col(p)["score"] >= REJECT_BELOW)).drop(p)
