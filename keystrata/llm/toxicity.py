@@ -12,12 +12,17 @@ given, counts nothing. The hits' weights are summed, set against the length, and
 a logistic curve fitted to the labels turns both into a score.
 
 Learning uses a sample of about TRAIN_DOCS labelled documents chosen by a hash
-of doc_id, a documented bound; document frequencies of stems are summed by Spark.
-Every document is scored over its whole text, in pieces that overlap.
+of doc_id, a documented bound, which bounds the lexicon too: every stem in it is
+held by MIN_DOCS toxic documents of the sample. Document frequencies of stems are
+summed by Spark. Every document is scored over its whole text, in pieces that are
+cut at white space only and overlap by the words of the longest phrase, so a score
+doesn't depend on where the cuts are.
 
 Edge cases: null and empty texts score as no hit; conflicting labels of a
-document each count; with no label of one kind, the lexicon is empty and every
-score is the base rate below 0.5; other columns pass through.
+document each count; repeated rows are scored alike and teach as often as they
+occur; with no label of one kind, or no documents, the lexicon is empty and every
+score is the base rate below 0.5; an empty table gives an empty result; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ MIN_STEM, MAX_STEM = 3, 12
 #: A stem is learned if it is this many times as frequent in toxic documents, in at least so many of them, and
 #: its evidence (documents times log ratio) exceeds what chance gives the best of all stems by this much.
 MIN_RATIO, MIN_DOCS, MARGIN = 20.0, 3, 3.0
-MAX_STEMS = 5_000
+#: Characters after which a text is cut at the next white space.
 CHUNK = 1 << 18
 
 #: Letters of other scripts that look like Latin ones, and what is written for a letter.
@@ -63,6 +68,7 @@ _FOLD = str.maketrans(HOMOGLYPHS)
 _SUBS = str.maketrans(SUBSTITUTES)
 _ZERO = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _ANY = re.compile(r"[0-9@$!|\u20ac]")
+_BLANK = re.compile(r"[ \t\r\n]")
 
 
 def fold_text(text: str) -> str:
@@ -79,18 +85,38 @@ def unaccented(folded: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
 
 
-def _spans(text: str) -> Iterator[str]:
-    """Folded pieces of a text, cut at white space where a piece is full."""
+def _pieces(text: str) -> Iterator[str]:
+    """Folded pieces of a text, cut at white space: folding changes nothing across it."""
     at = 0
     while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            space = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = space if space > at else end
+        found = _BLANK.search(text, at + CHUNK)
+        end = found.start() if found else len(text)
         yield fold_text(text[at:end])
         at = end
 
 
+def _windows(text: str, words: int) -> Iterator[tuple[str, int, int]]:
+    """(folded words, from, to): every word of a text begins from <= place < to in one window, with `words` words known around it."""
+    kept, begin = " ", 0
+    waiting = None
+    for piece in _pieces(text):
+        if waiting is not None:
+            piece = waiting[:-1] + piece if len(piece) > 2 else waiting
+        else:
+            piece, begin = (piece if len(piece) > 2 else kept), 0
+        stop = len(piece) - 1
+        for _ in range(words):
+            stop = max(0, piece.rfind(" ", 0, stop))
+        stop = max(stop, begin)
+        yield piece, begin, stop
+        back = stop
+        for _ in range(words):
+            back = max(0, piece.rfind(" ", 0, back))
+        waiting, begin = piece[back:], stop - back
+    if waiting is not None:
+        yield waiting, begin, len(waiting) - 1
+
+
 class Lexicon:
     """Stems and exceptions in one automaton, and the curve from hits to score."""
 
@@ -100,9 +126,10 @@ class Lexicon:
         for s, w in stems.items():
             self.automaton.add_word(" " + s, (len(s) + 1, w))
         for p in exceptions:
-            self.automaton.add_word(f" {p} ", (len(p) + 2, None))
+            self.automaton.add_word(f" {p} ", (len(p) + 2, tuple(k for k, c in enumerate(f" {p}") if c == " ")))
         if stems or exceptions:
             self.automaton.make_automaton()
+        self.around = max((p.count(" ") + 1 for p in exceptions), default=1)
 
         # Stems in plain letters, also looked for in accented words once their accents are gone.
         plain = {s_: w for s_, w in stems.items() if s_.isascii() and len(s_) >= 5}
@@ -110,39 +137,47 @@ class Lexicon:
         if plain:
             self.disguised = ahocorasick.Automaton()
             for s_, w in plain.items():
-                self.disguised.add_word(" " + s_, (len(s_) + 1, w))
+                self.disguised.add_word(" " + s_, w)
             self.disguised.make_automaton()
+        self._plain: dict[str, float] = {}
+
+    def _disguise(self, word: str) -> float:
+        """Weight that an accented word has without its accents, or 0."""
+        got = self._plain.get(word)
+        if got is None:
+            if len(self._plain) > 200_000:
+                self._plain.clear()
+            plain = unaccented(word)
+            got = self._plain[word] = max((w for _, w in self.disguised.iter(f" {plain} ")), default=0.0) if plain != word else 0.0
+        return got
 
     def _found(self, piece: str) -> dict[int, float]:
         """Weight of each hit by its place, without those inside exception phrases."""
         found: dict[int, float] = {}
-        harmless: list[tuple[int, int]] = []
+        harmless: set[int] = set()
         for end, (length, w) in self.automaton.iter(piece):
             start = end - length + 1
-            if w is None:
-                harmless.append((start, end))
+            if isinstance(w, tuple):
+                harmless.update([start + k for k in w])
             else:
                 found[start] = max(w, found.get(start, 0.0))
-        return {at: w for at, w in found.items() if not any(a <= at < b for a, b in harmless)}
+        if self.disguised is not None and not piece.isascii():
+            # Accents may be put on a listed word: what only shows without them counts too.
+            for m in _ACCENTED.finditer(piece):
+                if w := self._disguise(m[0]):
+                    found.setdefault(m.start() - 1, w)
+        return {at: w for at, w in found.items() if at not in harmless} if harmless else found
 
     def weigh(self, text: str | None) -> tuple[float, int, int]:
         """Sum of weights, hits and words of a text."""
         total, hits, words = 0.0, 0, 0
-        for piece in _spans(text or ""):
-            words += piece.count(" ") - 1
-            if not self.stems:
-                continue
-            found = self._found(piece)
-            if self.disguised is not None and not piece.isascii():
-                # Accents may be put on a listed word: what only shows without them counts too.
-                for word in set(_ACCENTED.findall(piece)):
-                    plain = unaccented(word)
-                    if plain != word:
-                        for n, (_, (_, w)) in enumerate(self.disguised.iter(f" {plain} ")):
-                            found.setdefault(-len(found) - n - 1, w)
-            total += sum(found.values())
-            hits += len(found)
-        return total, hits, max(words, 0)
+        for piece, begin, stop in _windows(text or "", self.around):
+            words += piece.count(" ", begin, stop)
+            if self.stems:
+                found = [w for at, w in self._found(piece).items() if begin <= at < stop]
+                total += sum(found)
+                hits += len(found)
+        return total, hits, words
 
     def features(self, text: str | None) -> tuple[float, float]:
         total, _, words = self.weigh(text)
@@ -160,7 +195,7 @@ def _stems(batches):
     seen = {0: Counter(), 1: Counter()}
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = {w for piece in _spans(text) for w in piece.split()}
+            words = {w for piece in _pieces(text) for w in piece.split()}
             seen[toxic].update({w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)})
             seen[toxic][""] += 1
     for toxic, c in seen.items():
@@ -181,12 +216,14 @@ def _learned_exceptions(stems: dict[str, float]):
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 phrases = set()
-                for piece in _spans(text):
+                for piece, begin, to in _windows(text, 1):
                     for end, n in auto.iter(piece):
                         start = end - n + 1
+                        if not begin <= start < to:
+                            continue
                         stop = piece.index(" ", start + 1)
                         before, after = piece[piece.rfind(" ", 0, start) + 1 : stop], piece[start + 1 : piece.find(" ", stop + 1)]
-                        phrases |= {p for p in (before, after) if p.count(" ") == 1}
+                        phrases |= {p for p in (before, after) if p.count(" ") == 1 and p[0] != " "}
                 seen[toxic].update(phrases)
         for toxic, c in seen.items():
             if c:
@@ -210,37 +247,55 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), float(max(w[1], 0.0)), float(max(w[2], 0.0))
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
-    """A lexicon of rows (doc_id, text, toxic)."""
-    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
+def _by_label(rows: DataFrame, key: str) -> DataFrame:
+    """Documents of either label that hold each key."""
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0))
+    return rows.groupBy(key).agg(of(1).alias("bad"), of(0).alias("good"))
+
+
+def _best_of_each_beginning(group: pd.DataFrame) -> pd.DataFrame:
+    """Of stems that begin alike, the one with the most evidence, then the longest."""
+    group = group.assign(length=group["stem"].str.len()).sort_values(["evidence", "length", "stem"], ascending=[False, False, True])
+    chosen: set[str] = set()
+    begun: set[str] = set()
+    for stem in group["stem"]:
+        if stem not in begun and not any(stem[:k] in chosen for k in range(MIN_STEM, len(stem))):
+            chosen.add(stem)
+            begun |= {stem[:k] for k in range(MIN_STEM, len(stem) + 1)}
+    return group[group["stem"].isin(chosen)][["stem", "ratio"]]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """(doc_id, text, toxic) of about train_docs labels, chosen by a hash of doc_id; only chosen texts move."""
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = labels.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < train_docs / max(n, train_docs)).select("text", "toxic").persist()
+    chosen = labels.where(draw < train_docs / max(n, train_docs))
+    # Labels of one document are drawn together, so the size is checked before the broadcast.
+    side = F.broadcast(chosen) if chosen.count() <= 4 * train_docs else chosen
+    return docs.select("doc_id", "text").join(side, "doc_id")
+
+
+def fit(labelled: DataFrame) -> Lexicon:
+    """A lexicon of rows (doc_id, text, toxic)."""
+    sample = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic")).persist()
     small_batches(labelled.sparkSession)
-    counted = sample.mapInArrow(_stems, "toxic int, stem string, n long").groupBy("stem").agg(
-        F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("good")
-    )
+    counted = _by_label(sample.mapInArrow(_stems, "toxic int, stem string, n long"), "stem").persist()
     totals = counted.where("stem = ''").collect()
     n_bad, n_good = (totals[0]["bad"], totals[0]["good"]) if totals else (0, 0)
     if not n_bad or not n_good:
+        counted.unpersist()
         sample.unpersist()
         return Lexicon({}, [], (-1.0, 0.0, 0.0))
     ratio = ((F.col("bad") + 0.1) / n_bad) / ((F.col("good") + 0.5) / n_good)
-    # The best by evidence; a bounded number comes to the driver.
     chance = float(np.log(max(1, counted.count()))) + MARGIN
     best = counted.where((F.col("stem") != "") & (F.col("bad") >= MIN_DOCS)).select("stem", (F.col("bad") * F.log(ratio)).alias("evidence"), ratio.alias("ratio"))
-    rows_ = best.where((F.col("ratio") >= MIN_RATIO) & (F.col("evidence") >= chance)).orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").limit(MAX_STEMS).collect()
-    stems: dict[str, float] = {}
-    taken: set[str] = set()
-    for r in rows_:  # of stems that begin alike, the one with the most evidence
-        stem = r["stem"]
-        if stem not in taken and not any(stem[:k] in stems for k in range(MIN_STEM, len(stem))):
-            stems[stem] = float(np.log(r["ratio"]))
-            taken |= {stem[:k] for k in range(MIN_STEM, len(stem) + 1)}
-    phrases = sample.mapInArrow(_learned_exceptions(stems), "toxic int, phrase string, n long").groupBy("phrase").agg(
-        F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("good")
-    )
-    learned = [r["phrase"] for r in phrases.where("good >= 5 AND good > 2 * bad").orderBy(F.desc("good"), "phrase").limit(MAX_STEMS).collect()] if stems else []
+    best = best.where((F.col("ratio") >= MIN_RATIO) & (F.col("evidence") >= chance))
+    rows = best.groupBy(F.substring("stem", 1, MIN_STEM)).applyInPandas(_best_of_each_beginning, "stem string, ratio double").collect()
+    stems = {r["stem"]: float(np.log(r["ratio"])) for r in sorted(rows)}
+    counted.unpersist()
+    phrases = _by_label(sample.mapInArrow(_learned_exceptions(stems), "toxic int, phrase string, n long"), "phrase")
+    learned = [r["phrase"] for r in phrases.where("good >= 5 AND good > 2 * bad").collect()] if stems else []
     rough = Lexicon(stems, sorted({*learned, *EXCEPTIONS}), (0.0, 1.0, 1.0))
     shared = labelled.sparkSession.sparkContext.broadcast((rough.stems, rough.exceptions))
     schema = pa.schema([("toxic", pa.int32()), ("a", pa.float64()), ("b", pa.float64())])
@@ -251,7 +306,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
             x = np.array([lexicon.features(t) for t in b.column(0).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], schema=schema)
 
-    points = sample.mapInArrow(features, "toxic int, a double, b double").toPandas()
+    points = sample.mapInArrow(features, "toxic int, a double, b double").orderBy("a", "b", "toxic").toPandas()
     sample.unpersist()
     return Lexicon(rough.stems, rough.exceptions, _curve(points[["a", "b"]].to_numpy(), points["toxic"].to_numpy()))
 
@@ -272,6 +327,6 @@ def scored(spark: SparkSession, lexicon: Lexicon, text: Column) -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", "toxic")
-    lexicon = fit(docs.join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    lexicon = fit(labelled_sample(docs, labels))
     return docs.select("doc_id", held.alias("held_out"), scored(spark, lexicon, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
