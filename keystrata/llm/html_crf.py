@@ -1,20 +1,26 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into leaf blocks: runs of text between block-level tags, each with
-its open ancestors. A block's features are its ancestors' tags, the words of their
-class, id and role attributes, and properties of its text (length, links, marks,
+its open ancestors. Inside a block, text in an inline element that has a class, id
+or role is a segment of its own, so an advert in the middle of a paragraph can go.
+A segment's features are its ancestors' tags, the words of their
+class, id and role attributes, and properties of its block's text (length, links, marks,
 set phrases). Two labels, main and other, a weight for each feature and for each
 pair of neighbouring labels; the weights maximise the conditional likelihood of
-labelled pages (`training_pages`, made from a fixed seed over many layouts) and
+labelled pages (`training_pages`, made from a fixed seed over many layouts, with and
+without noise, headings, class names and lists) and
 are fitted once in the driver. Viterbi gives the best labelling of a page.
 
-Blocks labelled main are joined in page order by one space. Scripts, styles,
+A block's segments labelled main are put together, their white space is made one
+space, and blocks are joined in page order by one space. Scripts, styles,
 comments and the head never become blocks. Pages are decoded one at a time, so
-memory is bounded by the longest page.
+memory is bounded by the longest page, however long.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags are
 taken as browsers do for paragraphs and list items; an unclosed script runs to the
-end; a page without any block gives empty text; other columns pass through.
+end; a page without any block gives empty text; where both labels are equally
+good the text is left out; repeated rows give repeated results; an empty table
+gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img svg math mi mn mo ms mtext mrow msup msub mfrac msqrt semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is no text of the page.
-RAW = frozenset("script style noscript template textarea svg math iframe object title head".split())
+#: Elements whose text is no text of the page, up to their end tags, or else to the end of the page as in browsers.
+RAW = frozenset("script style noscript textarea iframe title head".split())
+#: Elements that browsers never show; what they hold is left out while they are open.
+HIDDEN = frozenset({"template"})
 #: What a new element closes if it is open.
 CLOSES = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "option": "option", "tr": "tr", "td": "td", "th": "th"}
 _SCOPE = frozenset("ul ol dl table select article section div main body".split())
@@ -46,39 +55,66 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
-    """(ancestors, text, characters inside links) of each leaf block; an ancestor is (tag, attribute words)."""
+class Segment(NamedTuple):
+    """Text of a leaf block in one set of open inline elements that have attribute words."""
+
+    block: int
+    path: tuple  # of (tag, attribute words), the block's open ancestors
+    inline: tuple  # likewise, of inline elements with attribute words
+    raw: str  # white space as in the page
+    text: str  # of the whole block, as it would be returned
+    linked: int  # characters of the block that are inside links
+
+
+def _collapsed(raw: str) -> str:
+    return " ".join(raw.split())
+
+
+def segments(page: str) -> Iterator[Segment]:
+    """The page's text in order; every block with any text has one segment or more."""
     stack: list[tuple[str, tuple]] = []
-    text: list[str] = []
-    links, linked = 0, 0
-    at = 0
+    inline: list[tuple[str, tuple, int]] = []  # and how many ancestors were open
+    parts: list[tuple[tuple, list[str]]] = []
+    links = linked = number = at = 0
     path: tuple = ()
 
     def done():
-        nonlocal text, linked
+        nonlocal parts, linked, number
+        if not parts:
+            return
+        raws = [html_entities.unescape("".join(x)) for _, x in parts]
+        text = _collapsed("".join(raws))
         if text:
-            joined = " ".join(html_entities.unescape("".join(text)).split())
-            out = (path, joined, linked) if joined else None
-            text, linked = [], 0
-            return out
-        return None
+            for (within, _), raw in zip(parts, raws, strict=True):
+                yield Segment(number, path, within, raw, text, linked)
+            number += 1
+        parts, linked = [], 0
 
-    def pop_to(tag: str, scope=frozenset()) -> bool:
+    def pop_to(tag: str, scope=frozenset()) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
                 del stack[k:]
-                return True
+                while inline and inline[-1][2] > k:
+                    inline.pop()
+                return
             if stack[k][0] in scope:
-                return False
-        return False
+                return
+
+    def words_of(attrs: str) -> tuple:
+        return tuple(w.lower() for g in _NAMES.findall(attrs) for w in _PART.findall(" ".join(g))) if attrs else ()
 
     while m := _TOKEN.match(page, at):
         at = m.end()
         close, tag, attrs, words = m.groups()
         if words is not None:
-            if not text:
+            if any(t in HIDDEN for t, _ in stack):
+                continue
+            if not parts:
                 path = tuple(stack)
-            text.append(words)
+            within = tuple((t, w) for t, w, _ in inline if w)
+            if not parts or parts[-1][0] != within:
+                parts.append((within, []))
+            parts[-1][1].append(words)
             linked += len(words.strip()) if links else 0
             continue
         if tag is None:
@@ -87,16 +123,21 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
         if tag == "a":
             links = max(0, links + (-1 if close else 1))
         if tag in INLINE:
+            if close:
+                k = next((k for k in range(len(inline) - 1, -1, -1) if inline[k][0] == tag), None)
+                if k is not None:
+                    del inline[k:]
+            elif tag not in VOID and not attrs.endswith("/") and (inline or _NAMES.search(attrs)):
+                # Elements without words are only kept to tell whose end tag it is.
+                inline.append((tag, words_of(attrs), len(stack)))
             continue
-        if out := done():
-            yield out
-        links = 0 if tag != "a" else links
+        yield from done()
+        links = 0
         if tag in RAW and not close:
             if tag == "head":  # its elements are skipped one by one: the end tag may be missing
                 continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if not attrs.endswith("/"):
-                at = end.end() if end else len(page)
+            at = end.end() if end else len(page)
             continue
         if close:
             pop_to(tag)
@@ -105,10 +146,8 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
                 pop_to(CLOSES[tag], _SCOPE)
             if tag in _CLOSES_P and tag != "p":
                 pop_to("p", _SCOPE)
-            names = tuple(w.lower() for g in _NAMES.findall(attrs) for w in _PART.findall(" ".join(g))) if attrs else ()
-            stack.append((tag, names))
-    if out := done():
-        yield out
+            stack.append((tag, words_of(attrs)))
+    yield from done()
 
 
 #: Set phrases that are mostly no part of an article.
@@ -118,26 +157,44 @@ PHRASES = (
 )
 
 
-def path_features(path: tuple) -> list[str]:
+_SECTIONS = frozenset("article main nav aside footer header form".split())
+
+
+def closest(path: tuple) -> str:
+    return next((t for t, _ in reversed(path) if t in _SECTIONS), "none")
+
+
+def page_kind(found: list[Segment]) -> str:
+    """What kind of page the segments are of: with an element for the main text or not, and whether it has few blocks."""
+    marked = any(tag in ("article", "main") for x in found for tag, _ in x.path)
+    return ("marked" if marked else "plain") + (" few" if found[-1].block < 3 else "")
+
+
+def path_features(path: tuple, inline: tuple, kind: str) -> list[str]:
     out = {f"in:{tag}" for tag, _ in path}
-    out |= {f"word:{w}" for _, names in path for w in names}
+    out |= {f"page:{kind}", f"page:{kind} closest:{closest(path)}"}
+    out |= {f"word:{w}" for _, names in (*path, *inline) for w in names}
+    out |= {f"inline:{w}" for _, names in inline for w in names}
+    if inline:
+        out.add("inline")
+    out.add(f"closest:{closest(path)}")
     if path:
         out.add(f"leaf:{path[-1][0]}")
         out |= {f"near:{w}" for w in path[-1][1]}
-        first = next((t for t, _ in reversed(path) if t in ("article", "main", "nav", "aside", "footer", "header", "form")), "none")
-        out.add(f"closest:{first}")
+        out.add(f"closest:{closest(path)} leaf:{path[-1][0]}")
     return sorted(out)
 
 
-def text_features(text: str, linked: int) -> list[str]:
+def text_features(text: str, linked: int, section: str) -> list[str]:
     n = len(text)
-    out = ["bias", f"len:{min(6, int(math.log2(n + 1)) // 2)}", f"links:{min(3, int(4 * linked / max(1, n)))}"]
+    links, length = min(3, int(4 * linked / max(1, n))), min(6, int(math.log2(n + 1)) // 2)
+    out = ["bias", f"len:{length}", f"links:{links}", f"closest:{section} links:{links}", f"closest:{section} len:{length}"]
     if text[-1] in ".!?:;\"'”»":
         out.append("ends")
     if n < 400:
         low = text.lower()
         if any(p in low for p in PHRASES):
-            out.append("phrase")
+            out += ["phrase", f"closest:{section} phrase"]
     if "|" in text or "»" in text or "›" in text:
         out.append("bars")
     return out
@@ -150,13 +207,14 @@ class Crf:
         self.weights, self.pairs = weights, pairs
         self._paths: dict[tuple, float] = {}
 
-    def emission(self, path: tuple, text: str, linked: int) -> float:
-        got = self._paths.get(path)
+    def emission(self, x: Segment, kind: str) -> float:
+        key = (x.path, x.inline, kind)
+        got = self._paths.get(key)
         if got is None:
             if len(self._paths) > 50_000:
                 self._paths.clear()
-            got = self._paths[path] = sum(self.weights.get(f, 0.0) for f in path_features(path))
-        return got + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
+            got = self._paths[key] = sum(self.weights.get(f, 0.0) for f in path_features(*key))
+        return got + sum(self.weights.get(f, 0.0) for f in text_features(x.text, x.linked, closest(x.path)))
 
     def decode(self, emissions: list[float]) -> list[int]:
         if not emissions:
@@ -176,14 +234,21 @@ class Crf:
         return out[::-1]
 
     def extract(self, page: str | None) -> str:
-        found = list(blocks(page or ""))
-        labels = self.decode([self.emission(*b) for b in found])
-        return " ".join(text for (_, text, _), y in zip(found, labels, strict=True) if y)
+        found = list(segments(page or ""))
+        kind = page_kind(found) if found else ""
+        labels = self.decode([self.emission(x, kind) for x in found])
+        kept: dict[int, list[str]] = {}
+        for x, y in zip(found, labels, strict=True):
+            if y:
+                kept.setdefault(x.block, []).append(x.raw)
+        return _collapsed(" ".join("".join(raws) for raws in kept.values()))
 
 
 def train(pages: list[list[tuple[list[str], int]]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-4) -> Crf:
     """Stochastic gradient ascent on the conditional log-likelihood of labelled block sequences."""
-    w: dict[str, float] = {}
+    number: dict[str, int] = {}
+    pages = [[([number.setdefault(f, len(number)) for f in feats], y) for feats, y in page] for page in pages]
+    w = [0.0] * len(number)
     pairs = {(a, b): 0.0 for a in (-1, 0, 1) for b in (0, 1)}
     order = random.Random(7)
     add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
@@ -192,7 +257,7 @@ def train(pages: list[list[tuple[list[str], int]]], epochs: int = 6, rate: float
         for page in order.sample(pages, len(pages)):
             if not page:
                 continue
-            e = [sum(w.get(f, 0.0) for f in feats) for feats, _ in page]
+            e = [sum([w[f] for f in feats]) for feats, _ in page]
             n = len(page)
             fwd = [(pairs[-1, 0], pairs[-1, 1] + e[0])]
             for k in range(1, n):
@@ -207,8 +272,7 @@ def train(pages: list[list[tuple[list[str], int]]], epochs: int = 6, rate: float
             for k, (feats, y) in enumerate(page):
                 diff = y - math.exp(fwd[k][1] + bwd[k][1] - z)
                 for f in feats:
-                    old = w.get(f, 0.0)
-                    w[f] = old + step * (diff - decay * old)
+                    w[f] += step * (diff - decay * w[f])
                 if k:
                     for a in (0, 1):
                         for b in (0, 1):
@@ -220,13 +284,29 @@ def train(pages: list[list[tuple[list[str], int]]], epochs: int = 6, rate: float
                     grads[-1, y] += 1
             for key, g in grads.items():
                 pairs[key] += step * 0.2 * g
-    return Crf(w, pairs)
+    return Crf({f: w[k] for f, k in number.items()}, pairs)
 
 
 _SYLLABLES = "an de en er es in is la le on or que re ra st ta te th ti un ver zu che ment".split()
 
 
-def training_pages(count: int = 700, seed: int = 11) -> Iterator[list[tuple[str, int]]]:
+#: Class names of the training pages' noise, and of wrappers and passages that hold main text.
+NOISE = {
+    "nav": ["nav", "navbar", "menu", "breadcrumb", "topnav", "pagination", "skip links", "navigation", "pager"],
+    "head": ["header", "masthead", "site header", "top bar", "branding"],
+    "foot": ["footer", "site-footer", "copyright", "bottom", "colophon"],
+    "side": ["sidebar", "aside", "widget", "related", "recommended", "popular", "trending", "tags"],
+    "ad": ["ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "ad-slot", "ad-label"],
+    "note": ["notice", "cookie", "cookie-consent", "alert", "popup", "modal", "gdpr", "banner", "subscribe", "newsletter", "message"],
+    "form": ["form", "login", "search", "signup", "contact"],
+    "talk": ["comments", "comment", "comment-list", "replies", "reply", "discussion", "disqus", "responses"],
+    "share": ["share", "social", "sharing", "share-button"],
+}
+WRAPPERS = ["content", "article", "post", "entry content", "main", "story", "article-body", "post-content", "text", "page", "container", "wrapper", "row", "column", "inner", "layout"]
+PASSAGES = ["lead", "intro", "summary", "highlight", "term", "caption", "quote", "first", "em", "link", "note-ref", "paragraph", "date", "name"]
+
+
+def training_pages(count: int = 1100, seed: int = 11) -> Iterator[list[tuple[str, int]]]:
     """Labelled pages: (piece of html, 1 if the text in it is main text else 0 or, for bare markup, -1)."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
@@ -238,30 +318,21 @@ def training_pages(count: int = 700, seed: int = 11) -> Iterator[list[tuple[str,
             words[k] += r.choice(".,!")
         return " ".join(words) + r.choice([".", ".", ".", "", "!"])
 
-    link = lambda: f'<a href="/{word()}">{prose(1, 3)}</a>'
-    noise = {
-        "nav": ["nav", "navbar", "menu", "breadcrumb", "topnav", "pagination", "skip links"],
-        "head": ["header", "masthead", "site header", "top bar", "branding"],
-        "foot": ["footer", "site-footer", "copyright", "bottom", "colophon"],
-        "side": ["sidebar", "aside", "widget", "related", "recommended", "popular", "trending", "tags"],
-        "ad": ["ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "ad-slot"],
-        "note": ["notice", "cookie", "cookie-consent", "alert", "popup", "modal", "gdpr", "banner", "subscribe", "newsletter", "message"],
-        "form": ["form", "login", "search", "signup", "contact"],
-        "talk": ["comments", "comment", "comment-list", "replies", "reply", "discussion", "disqus", "responses"],
-        "share": ["share", "social", "sharing"],
-    }
+    link = lambda lo=1, hi=3: f'<a href="/{word()}">{prose(lo, hi)}</a>'
     phrases = ["Copyright 2020 {}. All rights reserved.", "© {}", "We use cookies. {}", "Subscribe to our newsletter {}", "Sign in {}", "Advertisement {}", "Sponsored {}", "Related {}", "Share this {}", "Read more {}"]
+    tags = {"nav": ["nav", "div", "ul"], "head": ["header", "div"], "foot": ["footer", "div"], "side": ["aside", "div", "section"], "ad": ["div", "aside", "ins"], "note": ["div", "section", "p"], "form": ["form"], "talk": ["section", "div", "ol"], "share": ["div", "ul"]}
 
     def junk(kind: str) -> list[tuple[str, int]]:
-        name = r.choice(noise[kind])
+        name = r.choice(NOISE[kind])
         attr = f' {r.choice(["class", "class", "id"])}="{name}"' if r.random() < 0.75 else ""
-        tag = {"nav": ["nav", "div", "ul"], "head": ["header", "div"], "foot": ["footer", "div"], "side": ["aside", "div", "section"], "ad": ["div", "aside", "ins"], "note": ["div", "section", "p"], "form": ["form"], "talk": ["section", "div", "ol"], "share": ["div", "ul"]}[kind]
-        tag = r.choice(tag)
+        tag = r.choice(tags[kind])
         if tag in ("div", "section", "p", "ul", "ol", "ins") and not attr:
             attr = f' class="{name}"'
         inner: list[str] = []
         if kind in ("nav", "share"):
-            inner = ["<ul>" * (tag != "ul"), *[f"<li>{link()}</li>" for _ in range(r.randint(2, 7))], "</ul>" * (tag != "ul")]
+            inner = ["<ul>" * (tag != "ul"), *[f"<li>{link()}</li>" for _ in range(r.randint(1, 7))], "</ul>" * (tag != "ul")]
+            if tag != "ul" and r.random() < 0.3:
+                inner = [link() + " " for _ in range(r.randint(1, 5))]
         elif kind == "head":
             inner = [f"<{r.choice(['h1', 'p', 'div'])}>{link() if r.random() < 0.5 else prose(1, 5)}", f"<p>{prose(2, 8)}</p>" * r.randint(0, 1)]
         elif kind == "foot":
@@ -274,59 +345,89 @@ def training_pages(count: int = 700, seed: int = 11) -> Iterator[list[tuple[str,
             inner = [f"<h{r.choice('234')}>Comments</h3>" * r.randint(0, 1)]
             for _ in range(r.randint(1, 4)):
                 own = r.choice(["div", "li", "article", "p", "div"])
-                inner.append(f'<{own} class="{r.choice(noise["talk"])}"><p>{prose(4, 60)}</p><span>{word()}</span></{own}>')
+                inner.append(f'<{own} class="{r.choice(NOISE["talk"])}"><p>{prose(4, 60)}</p><span>{word()}</span></{own}>')
         else:
             inner = [r.choice([prose(2, 30), f"<p>{prose(3, 35)}</p>", f"<p>{r.choice(phrases).format(prose(1, 20))}</p><button>{word()}</button>"])]
         return [(f"<{tag}{attr}>" + "".join(inner) + f"</{tag}>", 0)]
 
-    def content() -> list[tuple[str, int]]:
+    def sentence(lo: int, hi: int) -> str:
+        """Prose with inline elements, some with harmless class names."""
+        tag = r.choice(["b", "em", "span", "a", "code", "sup"])
+        attr = f' class="{r.choice(PASSAGES)}"' if r.random() < 0.5 else ""
+        part = f"<{tag}{attr}>{prose(1, 5)}</{tag}>"
+        return r.choice([f"{prose(lo, hi)} {part} {prose(lo, hi)}", f"{part} {prose(lo, hi)}", f"{prose(lo, hi)} {part}"])
+
+    def items(tag: str, linked: bool) -> str:
+        return f"<{tag}>" + "".join(f"<li>{link(1, 8) if linked else prose(1, 15)}" + r.choice(["", "</li>"]) for _ in range(r.randint(1, 5))) + f"</{tag}>"
+
+    def content(heading: float, linked: bool = True) -> list[tuple[str, int]]:
         out = []
-        if r.random() < 0.85:
+        if r.random() < heading:
             out.append((f"<h1>{prose(2, 14)}</h1>", 1))
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 6, 7, 9])):
             kind = r.random()
-            if kind < 0.68:
-                out.append((f"<p>{prose(1, 4) if r.random() < 0.25 else prose(4, 120)}</p>", 1))
-            elif kind < 0.76:
+            attr = f' class="{r.choice(PASSAGES)}"' if r.random() < 0.12 else ""
+            if kind < 0.50:
+                out.append((f"<p{attr}>{prose(1, 4) if r.random() < 0.25 else prose(4, 120)}</p>", 1))
+            elif kind < 0.58:
+                out.append((f"<p{attr}>{sentence(2, 30)}</p>", 1))
+            elif kind < 0.63:
                 out.append((f"<p><b>{prose(3, 60)}<br>" + "</b></p>" * r.randint(0, 1), 1))
-            elif kind < 0.82:
+            elif kind < 0.70:
                 out.append((f"<h{r.choice('234')}>{prose(1, 8)}</h2>", 1))
-            elif kind < 0.88:
-                out.append(("<ul>" + "".join(f"<li>{prose(1, 15)}" for _ in range(3)) + "</ul>", 1))
-            elif kind < 0.91:
+            elif kind < 0.75:
+                out.append((items("ul", linked and r.random() < 0.2), 1))
+            elif kind < 0.81:
+                out.append((items("ol", linked and r.random() < 0.2), 1))
+            elif kind < 0.84:
                 out.append((f"<blockquote>{prose(5, 40)}</blockquote>", 1))
-            elif kind < 0.93:
+            elif kind < 0.86:
                 out.append((f"<table><tr><td>{word()}<td>{prose(1, 5)}</table>", 1))
-            elif kind < 0.95:
-                out.append((f"<p>{prose(3, 20)} {link()} {prose(2, 10)}</p>", 1))
-            elif kind < 0.97:
+            elif kind < 0.88:
+                out.append((f"<dl><dt>{prose(1, 3)}<dd>{prose(2, 20)}</dl>", 1))
+            elif kind < 0.90:
+                out.append((f"<pre>{prose(2, 20)}</pre>", 1))
+            elif kind < 0.92:
                 out.append((f"<figure><img src=x><figcaption>{prose(2, 12)}</figcaption></figure>", 1))
+            elif kind < 0.96 and linked:
+                out.append((f"<p>{link(1, 12)}</p>" if r.random() < 0.6 else f"<p>{prose(3, 20)} {link()} {prose(2, 10)}</p>", 1))
             else:
-                out.append((prose(5, 60), 1))
+                out.append((f"<div>{prose(5, 60)}</div>" if r.random() < 0.5 else prose(5, 60), 1))
             if r.random() < 0.08:  # an article may hold such phrases too
                 out.append((f"<p>{r.choice([*phrases, 'All rights reserved. {}', 'Comments on {}']).format(prose(0, 30) if r.random() < 0.6 else '')}</p>", 1))
             if r.random() < 0.06:
                 out += junk(r.choice(["ad", "share", "note", "side", "form"]))
+            if r.random() < 0.08:  # noise in the middle of a paragraph
+                tag, name = r.choice(["span", "span", "a", "ins", "small", "b"]), r.choice(NOISE[r.choice(["ad", "ad", "share", "note"])])
+                out += [(f"<p>{prose(3, 40)} ", 1), (f'<{tag} class="{name}">{prose(1, 8)}</{tag}>', 0), (f" {prose(3, 40)}</p>", 1)]
         return out
 
     for _ in range(count):
-        page: list[tuple[str, int]] = [("<!DOCTYPE html><html><head><title>x</title></head><body>", -1)]
+        quiet = r.random() < 0.4  # a page, or a piece of one, with little or no noise
+        whole = r.random() < (0.5 if quiet else 0.95)
+        page: list[tuple[str, int]] = [("<!DOCTYPE html><html><head><title>x</title></head><body>" * whole, -1)]
+        around = r.random() < 0.25
+        page.append((f'<div class="{r.choice(WRAPPERS[10:])}">' * around, -1))
         for kind in ("note", "head", "nav", "ad", "form"):
-            if r.random() < {"nav": 0.85, "ad": 0.6, "head": 0.6, "note": 0.3, "form": 0.2}[kind]:
+            if r.random() < {"nav": 0.85, "ad": 0.6, "head": 0.6, "note": 0.3, "form": 0.2}[kind] * (0.08 if quiet else 1):
                 page += junk(kind)
-        outer = r.choice(["article", "article", "article", "article", "main", "div", "section", "bare"])
-        name = r.choice(["content", "article", "post", "entry content", "main", "story", "article-body", "post-content", "text", "page"])
-        wrap = r.random() < 0.35
+        outer = r.choice(["article", "article", "article", "article", "main", "div", "div", "div", "section", "bare", "bare", "bare", "bare"])
+        bare_div = outer == "div" and r.random() < 0.6  # neither class nor id
+        named = (outer in ("div", "section") and not bare_div) or (outer not in ("bare", "div") and r.random() < 0.3)
+        wrap, depth = r.random() < 0.3 and not bare_div, r.randint(1, 3) if bare_div else 1
         page.append(("<main>" * wrap, -1))
-        page.append(("" if outer == "bare" else f'<{outer} class="{name}">' if outer in ("div", "section") or r.random() < 0.3 else f"<{outer}>", -1))
-        page += content()
-        if r.random() < 0.2:
+        page.append(("" if outer == "bare" else (f'<{outer} class="{r.choice(WRAPPERS)}">' if named else f"<{outer}>") * depth, -1))
+        if quiet and r.random() < 0.25:  # a very short text
+            page += [(f"<p>{r.choice([prose(1, 2), r.choice('ABCDE')])}</p>", 1) for _ in range(r.randint(1, 2))]
+        else:
+            page += content(0.5 if quiet else 0.8, linked=outer in ("article", "main"))
+        if r.random() < (0.05 if quiet else 0.2):
             page += junk("talk")
-        page.append((("" if outer == "bare" else f"</{outer}>") + "</main>" * wrap, -1))
+        page.append((("" if outer == "bare" else f"</{outer}>" * depth) + "</main>" * wrap, -1))
         for kind in ("share", "side", "talk", "ad", "form", "note", "foot"):
-            if r.random() < {"share": 0.25, "side": 0.45, "talk": 0.35, "ad": 0.3, "foot": 0.85, "form": 0.15, "note": 0.15}[kind]:
+            if r.random() < {"share": 0.25, "side": 0.45, "talk": 0.35, "ad": 0.3, "foot": 0.85, "form": 0.15, "note": 0.15}[kind] * (0.15 if quiet else 1):
                 page += junk(kind)
-        page.append(("</body></html>", -1))
+        page.append(("</div>" * around + "</body></html>" * whole, -1))
         yield page
 
 
@@ -335,15 +436,16 @@ MARKS = "\ue000\ue001"
 
 
 def labelled_blocks(page: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
-    """Features and labels of a labelled page's blocks: pieces are told apart by marks put into their text."""
+    """Features and labels of a labelled page's segments: pieces are told apart by marks put into their text."""
     put = lambda y: lambda m: (">" + MARKS[y] + m[1]) if m[1] else MARKS[y] + m[2]
     marked = "".join(re.sub(r">([^<]*[^<\s][^<]*)|^([^<]+)", put(y), piece) if y >= 0 else piece for piece, y in page)
+    clean = lambda text: _collapsed("".join(" " if c in MARKS else c for c in text))
     out = []
-    for path, text, linked in blocks(marked):
-        marks = [c for c in text if c in MARKS]
-        clean = " ".join("".join(" " if c in MARKS else c for c in text).split())
-        if clean:
-            out.append((path_features(path) + text_features(clean, min(linked, len(clean))), int(bool(marks) and marks[0] == MARKS[1])))
+    found = list(segments(marked))
+    for x in found:
+        marks, text = [c for c in x.raw if c in MARKS], clean(x.text)
+        if clean(x.raw):
+            out.append((path_features(x.path, x.inline, page_kind(found)) + text_features(text, min(x.linked, len(text)), closest(x.path)), int(bool(marks) and marks[0] == MARKS[1])))
     return out
 
 

@@ -41,19 +41,71 @@ def test_language_contract(spark, documents, tmp_path):
     assert len(held) > 40 and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
-def test_language_pieces_lose_nothing(monkeypatch):
+def grams(text, buckets):
+    """Buckets of a text's 1- to 3-grams, by plain Python."""
+    low = "".join(c if c.isalpha() else " " for c in text.replace("Σ", "σ").lower())
+    cps = [0, 0, *map(ord, " " + " ".join(low.split()) + " ")] if low.strip() else []
+    out, mask = [], 0xFFFFFFFF
+    for k in range(2, len(cps)):
+        one = cps[k] * 0x9E3779B1 & mask
+        two = (one ^ (cps[k - 1] * 0x85EBCA77 + 1 & mask)) * 0xC2B2AE3D & mask
+        three = (two ^ (cps[k - 2] * 0x27D4EB2F + 2 & mask)) * 0x165667B1 & mask
+        out += [x >> (33 - buckets.bit_length()) for x in (one, two, three)]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 17, 500, 1 << 19])
+def test_language_pieces_lose_nothing(monkeypatch, chunk):
     import numpy as np
 
-    text = "Der Ärger, und 12 die Straße ist über allem. " * 40
-    w = np.random.default_rng(0).normal(size=(L.BUCKETS, 3)).astype(np.float32)
-    whole, n = L.log_likelihoods([text], w)
-    monkeypatch.setattr(L, "CHUNK", 500)
-    parts, m = L.log_likelihoods([text], w)
-    assert n[0] > 0 and abs(m[0] - n[0]) < 0.1 * n[0] and np.allclose(whole / n, parts / m, atol=0.05)
-    brute = np.zeros(3)
-    for g in L.hashed(L.code_points(text)):
-        brute += w[g].sum(0)
-    assert np.allclose(brute, whole[0], rtol=1e-3)
+    r = random.Random(chunk)
+    texts = ["Der Ärger, und 12 die Straße ist über allem. " * 40, "", None, "12", "ΑΣ σ", "İx", "é" * 30]
+    texts += ["".join(r.choice("abcΣσ ß12İ,é") for _ in range(r.randint(0, 80))) for _ in range(40)]
+    w = np.random.default_rng(0).normal(size=(1 << 12, 3)).astype(np.float32)
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    sums, counts = L.log_likelihoods(texts, w)
+    for t, got, n in zip(texts, sums, counts, strict=True):
+        want = grams(t or "", 1 << 12)
+        assert n == len(want) and np.allclose(got, w[want].astype(float).sum(0) if want else 0, atol=1e-3)
+
+
+def test_language_query_matches_brute_force(spark, documents, tmp_path):
+    import math
+    from collections import Counter
+
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+    n, docs = {}, Counter()
+    for d, t, lang in rows:
+        if not held(d) and t is not None and lang is not None:
+            docs[lang] += 1
+            n.setdefault(lang, Counter()).update(grams(t, L.MAX_BUCKETS))
+    total = {k: sum(c.values()) + L.SMOOTHING * L.MAX_BUCKETS for k, c in n.items()}
+    want = []
+    for d, t, _ in rows:
+        found = Counter(grams(t or "", L.MAX_BUCKETS))
+        count = sum(found.values())
+        if not count:
+            want.append((str(d), "und", 0.0))
+            continue
+        scale = min(1.0, L.CERTAIN_AFTER / count)
+        logits = {k: scale * (math.log(docs[k] / docs.total()) + sum(x * math.log((n[k][g] + L.SMOOTHING) / total[k]) for g, x in found.items())) for k in sorted(n)}
+        best = max(logits, key=logits.get)
+        want.append((str(d), best, 1 / sum(math.exp(v - logits[best]) for v in logits.values())))
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in L.op1_language_id(spark, str(tmp_path)).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
+
+
+def test_many_languages(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"wort{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9, f"l{k}") for k in range(300)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "MATRIX_CELLS", 1 << 19)
+    model = L.fit(df)
+    assert len(model.languages) == 300 and len(model.weights) == 1 << 10
+    monkeypatch.setattr(L, "MATRIX_CELLS", 1 << 12)
+    with pytest.raises(ValueError):
+        L.fit(df)
 
 
 def test_language_nothing_to_learn(spark, documents):
@@ -113,6 +165,62 @@ def test_toxicity_exceptions_and_disguise():
     assert T.Lexicon({}, [], (-1.0, 0.0, 0.0)).score(["x", None]).max() < 0.5
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 7, 20, 50])
+def test_toxicity_pieces_score_as_the_whole(monkeypatch, chunk):
+    r = random.Random(chunk)
+    lex = T.Lexicon({"idiot": 2.0, "trash": 1.5, "loser": 1.0}, ["trash can", "sore loser board", "idiot proof"], (0.0, 1.0, 1.0))
+    parts = ["trash", "can", "idiot", "proof", "sore", "loser", "board", "ídiot", "x", "Ä", "1d1ot", "--"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", "\n", "  ", ", ", "\t"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    whole = [lex.weigh(t) for t in texts]
+    assert sum(w[1] for w in whole) > 500
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    assert [lex.weigh(t) for t in texts] == whole
+
+
+def brute_weight(lex, text):
+    """Sum of weights by plain search in the folded words."""
+    words = T.fold_text(text or "").split()
+    harmless = set()
+    for p in lex.exceptions:
+        n = p.count(" ") + 1
+        for k in range(len(words) - n + 1):
+            if words[k : k + n] == p.split():
+                harmless |= set(range(k, k + n))
+    total = 0.0
+    for k, w in enumerate(words):
+        forms = [max((v for s, v in lex.stems.items() if w.startswith(s)), default=0.0)]
+        if not w.isascii():
+            forms.append(max((v for s, v in lex.stems.items() if s.isascii() and len(s) >= 5 and T.unaccented(w).startswith(s)), default=0.0))
+        total += 0 if k in harmless else forms[0] or forms[-1]
+    return total, len(words)
+
+
+def test_toxicity_query_matches_brute_force(spark, tmp_path):
+    import math
+
+    rows, labels = toxic_rows()
+    rows += [(1000, None), (1001, ""), (1003, "Ídiót trash can, MORONIC t3xt " * 50), (5, rows[5][1]), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    taught = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5]
+    lex = T.fit(T.labelled_sample(docs, spark.createDataFrame(taught, "doc_id long, quality int, toxic int")))
+    assert lex.stems
+    bias, a, b = lex.curve
+    want = []
+    for d, t in rows:
+        w, n = brute_weight(lex, t)
+        want.append((d, 1 / (1 + math.exp(-(bias + a * math.log1p(w) + b * w / math.sqrt(n + 25))))))
+    got = sorted((r.doc_id, r.score) for r in T.op2_toxicity(spark, str(tmp_path)).collect())
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 for x, y in zip(got, sorted(want), strict=True))
+
+
+def test_toxicity_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert T.op2_toxicity(spark, str(tmp_path)).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_rows(20)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, toxic int")
