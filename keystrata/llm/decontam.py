@@ -2,7 +2,9 @@
 
 Texts are canonicalised: numbers, units after numbers, and names (capitalised
 words) become typed placeholders that carry the replaced
-value, everything else is lower-cased words. Every window of WINDOW words of every
+value, everything else is lower-cased words. A number is one value with its decimal
+and thousands marks and its fraction bar; number words count as numbers, but for `one`,
+which is mostly none. Every window of WINDOW words of every
 document is hash-joined with the benchmark's windows on the template alone, so a
 question asked again with other numbers, names or units still meets its item.
 
@@ -12,23 +14,26 @@ one: documents have both forms of such a window, with all of these words as name
 with none; item windows have every choice. Pairs are judged with the first kind of
 document windows and without, so that a changed first word that is no name loses none.
 
-A (document, item) pair is a leak if the windows found cover at least COVERAGE of
+A (text, item) pair is a leak if the windows found cover at least COVERAGE of
 the item's windows and the slots are consistent: each benchmark value is always
 replaced by one value. Where slots disagree, only windows without any slot, or with
 unchanged values, count. This is judged for each occurrence of the item in the
 document (windows at one shift, document place minus item place; and windows at
 neighbouring shifts, as values of several words move what follows) and for the pair
 as a whole, whose windows may be scattered; the best of these counts, so an item
-asked twice with different values is met.
+asked twice with different values is met. Texts that share a doc_id are judged apart.
 
 Items shorter than WINDOW words use one window of their own length, with at least
 MIN_WORDS words. The benchmark side is broadcast only if its windows, counted
 first, number at most BROADCAST_WINDOWS; beyond that the join shuffles both sides.
+Of a document only a hash and a place for each window leave the scan: its words are
+looked up where a hash meets.
 
 Edge cases: null or empty texts and items match nothing; a null doc_id or item_id
 is a value of its own; repeated documents are told apart by nothing and give one
 row; repeated windows count once; empty tables give an empty result; other
-columns are ignored.
+columns are ignored, and pass through the stage; the memory of one text is a few
+times its size.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, fresh, table
 
 WINDOW = 8
 MIN_WORDS = 4
@@ -46,6 +51,8 @@ BROADCAST_WINDOWS = 250_000
 
 #: The units that count as such after a number.
 UNITS = "km|m|cm|mm|mi|miles?|meters?|metres?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|kmh|mph|degrees?"
+#: Words that are numbers.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
 #: Every placeholder begins with _SLOT, then its type: one search tells whether a window has any.
 _SLOT, _NUM, _NAME, _UNIT = "\ue000", "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
 _PLACEHOLDER = "\ue000[\ue001-\ue003]"
@@ -56,16 +63,23 @@ _POINT = "\ue004"
 
 
 def canonical(text: Column) -> Column:
-    """Words separated by one space and with one after the last; a placeholder is its marks and the value that it stands for.
+    """Words separated by one space; a placeholder is its marks and the value that it stands for.
 
     A word that may be a name has _SOFT before it.
     """
     marked = F.regexp_replace(text, r"(?<=\p{Ll} )(?=\p{Lu}\p{Ll})", _NAME)
     marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\ue002])", _SOFT)
-    marked = F.regexp_replace(marked, r"[.,](?<=\d.)(?=\d)", _POINT)
+    marked = F.regexp_replace(marked, r"[.,/](?<=\d.)(?=\d)", _POINT)
     marked = F.regexp_replace(marked, rf"(\d[\d{_POINT}]*)(?: ?(%|{UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUM}$1 {_UNIT}$2 ")
     marked = F.replace(marked, F.lit(f"{_UNIT} "), F.lit(""))
-    return F.concat(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue005]+", " ")), F.lit(" "))
+    return F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue005]+", " "))
+
+
+def words_of(canonical_: Column) -> Column:
+    """Its words, number words as numbers."""
+    soft = F.lit(_SOFT)
+    bare = lambda w: F.when(w.startswith(soft), F.replace(w, soft, F.lit(""))).otherwise(w)
+    return F.transform(F.split(canonical_, " "), lambda w: F.when(bare(w).isin(*NUMBER_WORDS.split()), F.concat(F.lit(_NUM), bare(w))).otherwise(w))
 
 
 def template(window: Column) -> Column:
@@ -77,10 +91,18 @@ def slots(window: Column) -> Column:
     return F.when(F.contains(window, F.lit(_SLOT)), found).otherwise(F.array().cast("array<string>"))
 
 
-def windows_of(text: Column, words: int) -> Column:
-    """All windows of so many words of a canonical text, in order; none if it has fewer."""
-    # Each match takes one word and looks ahead for the rest, so windows overlap.
-    return F.regexp_extract_all(text, F.lit(rf"(?=((?:[^ ]+ ){{{words}}}))[^ ]+ "), F.lit(1))
+def plain(window: Column) -> Column:
+    """The window with words that may be names as none; named: with all of them as names."""
+    return F.replace(window, F.lit(_SOFT), F.lit(""))
+
+
+def named(window: Column) -> Column:
+    return F.replace(window, F.lit(_SOFT), F.lit(_NAME))
+
+
+def word_hashes(template_: Column) -> Column:
+    """A hash of each word of a template."""
+    return F.transform(F.split(template_, " "), lambda w: F.xxhash64(w))
 
 
 def _choices(window: Column) -> Column:
@@ -91,19 +113,47 @@ def _choices(window: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_key, w (its window length), at (the window's place), n (its windows), window and template.
+    """item_id, item_key, w (its window length), at (the window's place), n (its windows), window, template and h, the template's hash.
 
     A window has the forms of _choices and one in lower case without names, so
     copies in another case or place are met too.
     """
     texts = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text")
     forms = texts.select("item_id", "item_key", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text"))))).alias("c"))
-    items = forms.withColumn("words", F.size(F.split(F.trim("c"), " ")))
-    w = F.least(F.col("words"), F.lit(WINDOW))
-    some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
-    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", "item_key", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
+    items = forms.select("item_id", "item_key", words_of(F.col("c")).alias("words")).withColumn("n_words", F.size("words"))
+    w = F.least(F.col("n_words"), F.lit(WINDOW))
+    n = F.col("n_words") - w + 1
+    rows = items.where(F.col("n_words") >= MIN_WORDS).select("item_id", "item_key", "words", w.alias("w"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    rows = rows.withColumn("window", F.array_join(F.slice("words", F.col("at") + 1, F.col("w")), " ")).drop("words")
     rows = rows.withColumn("window", F.explode(_choices(F.col("window"))))
-    return rows.withColumn("template", template(F.col("window"))).distinct()
+    return rows.withColumn("template", template(F.col("window"))).distinct().withColumn("h", F.xxhash64(word_hashes(F.col("template"))))
+
+
+def text_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, text_key, words, w, place, form and h of every window of the texts; form 1 only where it differs."""
+    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
+    text = text.select("doc_id", "text_key", words_of(F.col("c")).alias("words"))
+    text = text.withColumn("c", F.array_join("words", " "))
+    soft = F.contains("c", F.lit(_SOFT))
+    hashed = text.select("doc_id", "text_key", "words", word_hashes(template(plain(F.col("c")))).alias("h0"), F.when(soft, word_hashes(template(named(F.col("c"))))).alias("h1"))
+
+    # Places come from an explode, so that windows are hashed in generated code, and words once only.
+    sized = hashed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("w")).where(F.size("words") >= F.col("w"))
+    placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("w"))).alias("place"))
+
+    def window_hash(hashes: str) -> Column:
+        of = lambda w: F.xxhash64(*[F.get(hashes, F.col("place") + k) for k in range(w)])
+        return F.coalesce(*[F.when(F.col("w") == w, of(w)) for w in lengths])
+
+    second = F.when(F.col("h1").isNotNull(), window_hash("h1"))
+    both = F.array(window_hash("h0"), F.when(second != window_hash("h0"), second))
+    return placed.select("doc_id", "text_key", "words", "w", "place", F.posexplode(both).alias("form", "h")).where(F.col("h").isNotNull())
+
+
+def _window(rows: DataFrame) -> DataFrame:
+    """rows with their window's words in place of all words."""
+    words = F.array_join(F.slice("words", F.col("place") + 1, F.col("w")), " ")
+    return rows.withColumn("doc_window", F.when(F.col("form") == 0, plain(words)).otherwise(named(words))).drop("words")
 
 
 def occurrences(pairs: DataFrame) -> DataFrame:
@@ -115,37 +165,33 @@ def occurrences(pairs: DataFrame) -> DataFrame:
     text, item, none = F.col("text_key"), F.col("item_key"), F.lit(None)
 
     def groups(forms: int) -> Column:
-        keys = [(none, none, none), (text, item, F.col("shift")), (text, item, F.col("run"))]
+        keys = [(text, item, none), (text, item, F.col("shift")), (text, item, F.col("run"))]
         return F.array(*(F.struct(F.lit(3 * forms + kind).alias("kind"), *(k.cast("long").alias(f"k{i}") for i, k in enumerate(key))) for kind, key in enumerate(keys)))
 
     return rows.withColumn("occurrence", F.explode(F.when(F.col("form") == 0, F.concat(groups(1), groups(2))).otherwise(groups(2))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, n_windows, changed_slots of every leak."""
-    items = item_windows(benchmark.select("item_id", "text")).withColumn("h", F.xxhash64("template"))
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_key, item_id and best (coverage, n_windows, kept: less the changed slots) of every text that leaks an item."""
+    items = cut(item_windows(benchmark.select("item_id", "text")), "items")
     lengths, n = [], 0
     for row in items.groupBy("w").count().collect():  # at most WINDOW rows
         lengths.append(row["w"])
         n += row["count"]
-    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
-    parts = [windows_of(F.col("c"), w) for w in sorted(lengths)] or [F.array().cast("array<string>")]
-    # An item has one window length, so places need only be right among windows of one length.
-    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*parts)).alias("place", "window"))
-    named = F.array(F.replace("window", F.lit(_SOFT), F.lit("")), F.replace("window", F.lit(_SOFT), F.lit(_NAME)))
-    both = F.when(F.contains("window", F.lit(_SOFT)), named).otherwise(F.array("window"))
-    found = found.select("doc_id", "text_key", "place", F.posexplode(both).alias("form", "doc_window"))
-    found = found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
-    side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
-    met = found.join(side, (F.col("dh") == F.col("h")) & (template(F.col("doc_window")) == F.col("template")))
+    found = text_windows(docs.select("doc_id", "text"), sorted(lengths) or [WINDOW])
+    side = items.withColumnRenamed("w", "item_w")
+    same = (F.col("h") == F.col("item_h")) & (F.col("w") == F.col("item_w"))
+    side = side.withColumnRenamed("h", "item_h")
+    met = _window(found.join(F.broadcast(side), same)) if n <= BROADCAST_WINDOWS else _window(found).join(side, same)
+    met = met.where(template(F.col("doc_window")) == F.col("template"))
     zipped = F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now"))
     pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", "form", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
-    same = F.forall("slots", lambda s: s["was"] == s["now"])
-    summed = occurrences(pairs).groupBy("doc_id", "item_id", "occurrence").agg(
+    unchanged = F.forall("slots", lambda s: s["was"] == s["now"])
+    summed = occurrences(pairs).groupBy("doc_id", "text_key", "item_id", "occurrence").agg(
         F.max("n").alias("n"),
         F.size(F.collect_set("at")).alias("n_windows"),
-        F.size(F.collect_set(F.when(same, F.col("at")))).alias("n_same"),
+        F.size(F.collect_set(F.when(unchanged, F.col("at")))).alias("n_same"),
         F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))
@@ -153,9 +199,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     changed = F.size(F.filter("slots", lambda s: s["was"] != s["now"]))
     passed = summed.withColumn("coverage", counted / F.col("n")).where(F.col("coverage") >= COVERAGE)
     best = F.max(F.struct("coverage", counted.cast("long").alias("n_windows"), (-changed).alias("kept")))
+    return passed.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage, n_windows, changed_slots of every leak, a row for each pair of ids."""
     return (
-        passed.groupBy("doc_id", "item_id")
-        .agg(best.alias("best"))
+        judged(docs, benchmark)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("best").alias("best"))
         .select("doc_id", "item_id", "best.coverage", "best.n_windows", (-F.col("best.kept")).alias("changed_slots"))
     )
 
@@ -165,7 +217,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak an item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti").select(*docs.columns)
-
+    """Pipeline stage: texts that leak an item go, and no other text of the same doc_id."""
+    doc, key = fresh(docs, "leak_doc"), fresh(docs, "leak_text")
+    found = judged(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")

@@ -402,6 +402,117 @@ def test_decontamination_first_words_that_are_no_names(spark):
     assert met(spark, [item], [item.replace("If it rains 5", "When it rains 6")])[0] > 0.5
 
 
+ASKED = {
+    "A car travels 1,200 km in 8 hours at one speed. How far does it go in 3 hours?": "A car travels 900 km in 6 hours at one speed. How far does it go in 2 hours?",
+    "Alice has 3 apples and gives 2 of them to a friend. How many apples does Alice have?": "Bob has 5 apples and gives 4 of them to a friend. How many apples does Bob have?",
+    "The shop on our street closes early today. Carol buys 7 loaves of fresh bread there for the week": "The shop on our street closes early today. Dave buys 9 loaves of fresh bread there for the week",
+    "A jug holds 3.5 liters and a cup holds 1/2 liters so how many cups fill the whole jug?": "A jug holds 12 liters and a cup holds 3 liters so how many cups fill the whole jug?",
+    "Four pens and three books lie on the desk beside two lamps so how many things lie there": "Six pens and nine books lie on the desk beside 12 lamps so how many things lie there",
+}
+
+
+def test_decontamination_asked_again(spark):
+    filler = "this page has some words of its own. "
+    docs = [*ASKED, *ASKED.values(), *(filler * 3 + x + " and more words follow" for x in ASKED.values()), *(x.lower() for x in ASKED)]
+    bench = spark.createDataFrame(list(enumerate(ASKED)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate([*docs, filler * 9])), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()}
+    assert got == {(k, k % len(ASKED)) for k in range(len(docs))}
+
+
+def brute_words(text):
+    """Words of a text as (type, value): n number, u unit, m name, s a word that may be a name, w other."""
+    import regex
+
+    out = []
+    numbers = set(D.NUMBER_WORDS.split())
+    for m in regex.finditer(r"(?P<n>\d(?:\d|[.,/](?=\d))*)(?: ?(?P<u>%|(?:" + D.UNITS + r")(?![\p{L}\p{N}])))?|(?P<w>[\p{L}%]+)", text):
+        if m["n"]:
+            out.append(("n", regex.sub("[.,/]", ".", m["n"])))
+            if m["u"]:
+                out.append(("u", m["u"].lower()))
+            continue
+        w, before = m["w"], text[max(0, m.start() - 2) : m.start()]
+        if w.lower() in numbers:
+            out.append(("n", w.lower()))
+        elif regex.match(r"\p{Lu}\p{Ll}", w):
+            out.append(("m" if regex.fullmatch(r"\p{Ll} ", before) else "s", w.lower()))
+        else:
+            out.append(("w", w.lower()))
+    return out
+
+
+def brute_leaks(items, docs):
+    """(doc, item) pairs by comparing every window of one occurrence, word by word."""
+
+    def alike(a, b):
+        if a[0] == b[0] == "w" or "w" in (a[0], b[0]):
+            return a[1] == b[1] and {a[0], b[0]} <= {"w", "s"}
+        if "s" in (a[0], b[0]):
+            return {a[0], b[0]} <= {"s", "m"}
+        return a[0] == b[0]
+
+    out = set()
+    for i, item in enumerate(items):
+        x = brute_words(item)
+        w = min(len(x), D.WINDOW)
+        n = len(x) - w + 1
+        for d, doc in enumerate(docs):
+            y = brute_words(doc)
+            for shift in range(-n + 1, len(y)):
+                met, values = set(), {}
+                for at in range(n):
+                    p = at + shift
+                    if 0 <= p <= len(y) - w and all(alike(a, b) for a, b in zip(x[at : at + w], y[p : p + w], strict=True)):
+                        met.add(at)
+                        for a, b in zip(x[at : at + w], y[p : p + w], strict=True):
+                            if a[0] != "w" and not (a[0] == "s" and a[1] == b[1]):
+                                values.setdefault(a, set()).add(b[1])
+                if len(met) >= D.COVERAGE * n and all(len(v) == 1 for v in values.values()):
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Generated questions asked again with other numbers, names and units: nearly all that a plain matcher meets are met, clean texts never."""
+    r = random.Random(12)
+    names = "Ann Bob Carol Dave Eve Frank Gina Hugo Ida Jack".split()
+    things = "apples pens books coins cards stamps marbles".split()
+    verbs = "buys finds sells loses counts paints".split()
+    number = lambda: r.choice([str(r.randint(2, 99)), f"{r.randint(1, 9)},{r.randint(100, 999)}", f"{r.randint(1, 9)}.{r.randint(1, 9)}", r.choice(D.NUMBER_WORDS.split()[:8])])
+    shapes = [
+        "{a} {v} {x} {t} at the old market near the river. {a} then gives {y} of the {t} to {b} before noon. How many {t} does {a} keep?",
+        "In the morning {a} {v} {x} {t} and in the evening {b} {v} {y} more, so how many {t} do both of them have now",
+        "A train with {x} {t} on board travels {y} km in {z} hours and stops at every small town on its long way",
+        "Our teacher says that {a} {v} {x} {t} each week. After {y} weeks how many {t} has {a} got in the large blue box?",
+    ]
+    def fill(shape, thing, verb):
+        a, b = r.sample(names, 2)
+        return shape.format(a=a, b=b, v=verb, t=thing, x=number(), y=number(), z=number())
+
+    made = [(shape, r.choice(things), r.choice(verbs)) for shape in shapes for _ in range(3)]
+    items = [fill(*m) for m in made]
+    filler = lambda: "".join(r.choice(["we went home then. ", "it was a long day for all of us. ", "some rain fell, "]) for _ in range(r.randint(0, 4)))
+    docs = [filler() + fill(*m) + r.choice([" ", ". "]) + filler() for m in made for _ in range(3)]
+    clean = [filler() * 3 + "the market has many apples and books" for _ in range(10)]
+    want = brute_leaks(items, docs + clean)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs + clean)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.leaks(df, bench).collect()}
+    own = {(d, d // 3) for d in range(len(docs))}
+    assert len(want & got) >= 0.95 * len(want) and len(own & got) >= 0.9 * len(own)
+    assert not [d for d, _ in got if d >= len(docs)]
+
+
+def test_decontamination_stage_keeps_other_texts(spark, tmp_path):
+    spark.createDataFrame([(1, PENS)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, PENS, 1), (None, "a clean text of its own", 1), (7, PENS.replace("900", "30"), 2), (7, "another clean text", 3), (8, None, 4), (9, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leak_doc long").withColumns({"w": F.lit(1), "h": F.lit(2), "words": F.lit("x"), "leak_text": F.lit(0)})
+    kept = D.stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r[:2]) for r in rows if r[1] is None or "pens" not in r[1])
+
+
 def test_decontamination_same_id_other_text(spark):
     df = spark.createDataFrame([(1, PENS.replace("900", "30")), (1, PENS.replace("900", "50"))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, PENS)], "item_id long, text string")
