@@ -1,63 +1,129 @@
-"""Substring dedup by hashing lines, and the sentences of lines that hold several.
-
-A document's units are its lines and, in a line of several sentences, those too:
-a passage set into the middle of a paragraph is found by the sentences that it
-brings whole. A unit is normalised (white space to one space, trimmed,
-lower-cased) and digested; digests are grouped over the whole corpus. The earliest
-occurrence, by (doc_id, line, sentence), stays and every other is removed, with
-its offsets in the original text kept. Units of fewer than MIN_WORDS words are
-never removed: short ones repeat in clean prose. What is removed inside a removed
-line is part of that line's span.
-
-The pipeline's stage judges length on runs instead (`run_repeats`): consecutive
-units, short ones too and over line breaks, are joined up to MIN_WORDS, forward from
-each unit and backward from each, and all units of a run met before are removed. So a
-passage of short lines or sentences goes whole. Where words have no blanks between
-them, two characters count as a word and sentences end at their own full stops too. The
-query stays with single units, as its SQL says.
-
-The corpus-wide steps move one narrow row for each unit; counts and minima are
-combined before the shuffle, so a unit that a third of the documents share costs
-a row for each task. Texts move once, and only when they are rewritten.
-
-Edge cases: null and empty texts have no units and come back as they are; a unit
+"""Substring dedup by hashing runs of lines and sentences.
+
+A document's units are its lines and, in a line of several sentences, those: a
+passage set into the middle of a paragraph is found by the sentences that it brings
+whole. A unit is normalised (white space to one space, trimmed, lower-cased).
+Length is judged on runs: from each unit forward, and from each backward,
+consecutive units are joined, over line breaks too, up to MIN_WORDS words. A line or
+sentence of MIN_WORDS words is a run by itself; lines, paragraphs and passages of
+shorter units are runs together. Where words have no blanks between them, two
+characters count as a word and sentences end at their own full stops too.
+
+Runs are digested (128 bits) and digests are grouped over the whole corpus. The
+earliest occurrence, by (doc_id, text, place), stays; all units of every other are
+removed, with their offsets in the original text kept.
+
+Texts are read once and give a narrow row for each run. Digests that are met once
+only drop out by a count, which is combined before it is shuffled; the rest is joined
+with each digest's earliest place, from tables that let Spark split a digest that a
+third of the documents share. Texts move once, and only when they are rewritten.
+
+Edge cases: null and empty texts have no units and come back as they are; a run
 repeated inside one document keeps its first place; rows with equal doc_id and
 equal text are the same occurrence (rows that share only the doc_id are not); a
 null doc_id sorts last; a line that loses all its sentences goes; a text that loses
-every unit becomes the empty string; other columns pass through.
+every unit becomes the empty string; memory is bounded by the longest text; an empty
+table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, drop_cut, fresh, small_batches, table
 
-#: Units of fewer words stay.
+#: Runs of fewer words stay.
 MIN_WORDS = 8
 
-
-def normalised(unit: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\r\f\x0B]+", " ")))
-
-
-def sentences(line: Column) -> Column:
-    """A line's sentences, each with the space after it: together they are the line."""
-    return F.split(line, r"(?<=[.!?] )")
-
-
-#: A unit's place: its line number, and its sentence's number from 1, or 0 for the whole line.
-PLACE = 1 << 32
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, unit (line * PLACE + sentence) and digest of every unit that dedup looks at."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "whole"))
-    found = rows.select("doc_id", "text_key", "line", F.posexplode(F.when(F.rlike("whole", F.lit("[.!?] .")), F.concat(F.array("whole"), sentences(F.col("whole")))).otherwise(F.array("whole"))).alias("sentence", "part"))
-    norm = found.select("doc_id", "text_key", (F.col("line").cast("long") * PLACE + F.col("sentence")).alias("unit"), normalised(F.col("part")).alias("norm"))
-    digest = F.struct(F.xxhash64("norm").alias("hash"), F.length("norm").alias("length"))
-    return norm.where(F.size(F.split("norm", " ")) >= MIN_WORDS).select("doc_id", "text_key", "unit", digest.alias("digest"))
+_SENTENCE = re.compile(r"(?<=[.!?] )|(?<=[。！？])")
+_SENTENCES = re.compile(r"[.!?] .|[。！？]")
+_ODD = re.compile(r"[\t\r\f\x0b]|  ")
+_SPACES = re.compile(r"[ \t\r\f\x0b]+")
+#: Scripts that set no blanks between words: Han, Hiragana, Katakana, Thai, Lao, Khmer, Myanmar.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+
+
+def lines_of(text: str) -> list[list[str]]:
+    """The sentences of each line, each with the space after it: together they are the line."""
+    return [_SENTENCE.split(line) if _SENTENCES.search(line) else [line] for line in text.split("\n")]
+
+
+def normalised(part: str) -> str:
+    if _ODD.search(part):
+        part = _SPACES.sub(" ", part)
+    return part.strip(" ").lower()
+
+
+def n_words(norm: str) -> int:
+    blanks = norm.count(" ") + 1
+    return blanks if norm.isascii() else max(blanks, len(_UNSPACED.findall(norm)) // 2)
+
+
+def units(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end (code points) and normalised text of each unit that has any."""
+    at = 0
+    for parts in lines_of(text):
+        for part in parts:
+            end = at + len(part)
+            if norm := normalised(part):
+                yield at, end, norm
+            at = end
+        at += 1
+
+
+def runs(words: list[int]) -> list[tuple[int, int]]:
+    """(first unit, one past the last) of the shortest runs of MIN_WORDS from each unit forward and backward."""
+    n, out = len(words), []
+    for i in range(n):
+        total, j = words[i], i + 1
+        while total < MIN_WORDS and j < n:
+            total += words[j]
+            j += 1
+        if total >= MIN_WORDS:
+            out.append((i, j))
+        if words[i] < MIN_WORDS:
+            total, j = words[i], i
+            while total < MIN_WORDS and j:
+                j -= 1
+                total += words[j]
+            # One that falls short without its last unit is a forward run too.
+            if total >= MIN_WORDS and total - words[i] >= MIN_WORDS:
+                out.append((j, i + 1))
+    return out
+
+
+RUNS = "d1 long, d2 long, doc_id long, text_key long, unit int, spans binary"
+
+
+def _run_rows(batches):
+    """For each run its digest, first unit, and (number, start, end) of its units as int32."""
+    for b in batches:
+        digests, owner, first, spans, sizes = [], [], [], [], []
+        for row, text in enumerate(b.column(2).to_pylist()):
+            found = list(units(text))
+            for i, j in runs([n_words(u[2]) for u in found]):
+                digests.append(xxhash.xxh3_128_digest("\n".join([u[2] for u in found[i:j]]).encode("utf-8", "surrogatepass")))
+                owner.append(row)
+                first.append(i)
+                sizes.append(12 * (j - i))
+                for k in range(i, j):
+                    spans += (k, found[k][0], found[k][1])
+        if not owner:
+            continue
+        pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.array(spans, np.int32).tobytes())])
+        at = pa.array(owner, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()), binary], names=["d1", "d2", "doc_id", "text_key", "unit", "spans"]
+        )
 
 
 def _place() -> Column:
@@ -65,160 +131,125 @@ def _place() -> Column:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, unit, first_doc_id of every unit occurrence that is not the earliest of its digest."""
-    found = units(docs.select("doc_id", "text"))
-    groups = found.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(groups, "digest").where(_place() != F.col("first"))
-    return later.groupBy("doc_id", "text_key", "unit").agg(F.min("first.doc_id").alias("first_doc_id"))
-
-
-def _whole_line(unit: Column) -> Column:
-    return unit - F.pmod(unit, F.lit(PLACE))
+    """doc_id, text_key, spans and first_doc_id of every run that is not the earliest of its digest."""
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    found = cut(rows.mapInArrow(_run_rows, RUNS), "runs")
+    # Tables, not subplans: a join right above an aggregate would tie a digest's rows to one task.
+    often = cut(found.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("d1").alias("often")), "often")
+    again = cut(found.join(often, F.col("d1") == F.col("often"), "left_semi"), "again")
+    groups = again.groupBy("d1", "d2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = cut(groups.select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "first"), "groups")
+    for done in (found, often):
+        drop_cut(done)
+    later = again.join(groups, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2"))).where(_place() != F.col("first"))
+    return later.select("doc_id", "text_key", "spans", F.col("first.doc_id").alias("first_doc_id"))
+
+
+def _single(batches):
+    """One row for each unit of each run."""
+    for b in batches:
+        raw = b.column(2).to_pylist()
+        at = pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // 12 for x in raw]))
+        flat = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 3)
+        columns = [b.column(0).take(at), b.column(1).take(at), *[pa.array(flat[:, k].astype(np.int64)) for k in (1, 2)], b.column(3).take(at)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "first_doc_id"])
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end, first_doc_id of each removed span (code points from 0, end exclusive). Texts stay where they are."""
-    cuts = repeats(docs).withColumnsRenamed({"doc_id": "c_doc", "text_key": "c_key", "unit": "c_unit"})
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "whole")).distinct()
-    parts = rows.select("doc_id", "text_key", "line", F.length("whole").alias("length"), F.posexplode(F.transform(sentences(F.col("whole")), lambda x: F.length(x))).alias("at", "size"))
-    begin = Window.partitionBy("doc_id", "text_key").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, -1)
-    ends_line = F.when(F.lead("line").over(Window.partitionBy("doc_id", "text_key").orderBy("line", "at")) != F.col("line"), 1).otherwise(0)
-    placed = parts.withColumn("step", (F.col("size") + ends_line).cast("long")).withColumn("start", F.coalesce(F.sum("step").over(begin), F.lit(0)).cast("long"))
-    both = F.array(
-        F.when(F.col("at") == 0, F.struct((F.col("line").cast("long") * PLACE).alias("unit"), (F.col("start") + F.col("length")).alias("end"))),
-        F.struct((F.col("line").cast("long") * PLACE + F.col("at") + 1).alias("unit"), (F.col("start") + F.col("size")).alias("end")),
-    )
-    spans = placed.select("doc_id", "text_key", "start", F.explode(F.array_compact(both)).alias("u")).select("doc_id", "text_key", "start", "u.unit", "u.end")
-    met = spans.join(cuts, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_key") == F.col("c_key")) & (F.col("unit") == F.col("c_unit")))
-    in_line = Window.partitionBy("doc_id", "text_key", _whole_line(F.col("unit")))
-    kept = met.withColumn("least", F.min("unit").over(in_line)).where((F.col("unit") == F.col("least")) | (F.pmod("least", F.lit(PLACE)) != 0))
-    return kept.select("doc_id", "text_key", "start", "end", "first_doc_id")
-
-
-#: Scripts that set no blanks between words.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-
-
-def fine_sentences(line: Column) -> Column:
-    """As sentences(), and full stops that no space follows in Chinese and Japanese."""
-    return F.split(line, r"(?<=[.!?] |[。！？])")
-
-
-def _words(norm: Column) -> Column:
-    """Words of a normalised unit that is not empty; two characters of an unspaced script are one."""
-    blanks = F.size(F.split(norm, " "))
-    # Such characters take three bytes.
-    return F.when(F.octet_length(norm) - F.length(norm) < 2, blanks).otherwise(F.greatest(blanks, F.floor(F.regexp_count(norm, F.lit(_UNSPACED)) / 2).cast("int")))
-
-
-def _runs(parts: Column, backward: bool) -> Column:
-    """From each part, the shortest run of parts that has MIN_WORDS: its units and digest. No part is empty, so MIN_WORDS parts are enough."""
-
-    def run(_: Column, i: Column) -> Column:
-        i = i.cast("int")
-        first = F.greatest(i - (MIN_WORDS - 1), F.lit(0)) if backward else i
-        near = F.slice(parts, first + 1, F.least(i + 1 - first, F.lit(MIN_WORDS)) if backward else F.lit(MIN_WORDS))
-        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-        more = lambda got, x: F.when(got["words"] >= MIN_WORDS, got).otherwise(F.struct((got["words"] + x["words"]).alias("words"), (got["n"] + 1).alias("n")))
-        enough = F.aggregate(F.reverse(near) if backward else near, zero, more, lambda got: F.when(got["words"] >= MIN_WORDS, got["n"]).otherwise(0))
-        return F.slice(near, -F.greatest(enough, F.lit(1)) if backward else F.lit(1), enough)
-
-    found = F.transform(parts, lambda x, i: F.when(x["words"] >= MIN_WORDS, F.array(x)).otherwise(run(x, i)))
-    # Backward, a run that falls short without its last part is a forward one too.
-    new = lambda r: F.aggregate(F.slice(r, 1, F.size(r) - 1), F.lit(0), lambda a, x: a + x["words"]) >= MIN_WORDS
-    return F.filter(found, lambda r: (F.size(r) > 1) & new(r) if backward else F.size(r) > 0)
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, unit (the first), all (its units) and digest of every run that dedup looks at."""
-
-    def parts(line: Column, i: Column) -> Column:
-        norms = F.transform(fine_sentences(line), lambda p, j: F.struct((i.cast("long") * PLACE + j + 1).alias("unit"), normalised(p).alias("norm")))
-        return F.transform(F.filter(norms, lambda x: x["norm"] != ""), lambda x: F.struct(x["unit"], F.xxhash64(x["norm"]).alias("hash"), F.length(x["norm"]).alias("length"), _words(x["norm"]).alias("words")))
-
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.flatten(F.transform(F.split("text", "\n"), parts)).alias("parts"))
-    both = rows.select("doc_id", "text_key", F.explode(F.concat(_runs(F.col("parts"), False), _runs(F.col("parts"), True))).alias("run"))
-    digest = F.struct(F.xxhash64("run.hash").alias("hash"), F.aggregate("run.length", F.lit(0), lambda a, x: a + x).alias("length"))
-    return both.select("doc_id", "text_key", F.col("run")[0]["unit"].alias("unit"), F.col("run.unit").alias("all"), digest.alias("digest"))
-
-
-def run_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and unit of every unit in a run that is not the earliest of its digest."""
-    found = runs(docs.select("doc_id", "text"))
-    groups = found.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(groups, "digest").where(_place() != F.col("first"))
-    return later.select("doc_id", "text_key", F.explode("all").alias("unit"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs' rows with `kept_text` and `n_removed`, the units that were cut."""
-    return _without(docs, repeats(docs), sentences)
+    """doc_id, text_key, start, end, first_doc_id of each removed unit (code points from 0, end exclusive); the first document of those that its runs are met in."""
+    rows = repeats(docs).mapInArrow(_single, "doc_id long, text_key long, start long, end long, first_doc_id long")
+    return rows.groupBy("doc_id", "text_key", "start", "end").agg(F.min("first_doc_id").alias("first_doc_id"))
+
+
+def without(text: str, cuts: set[int]) -> str:
+    """The text without the units that are cut; a line that loses all its parts goes."""
+    out, k = [], 0
+    for parts in lines_of(text):
+        kept = []
+        for part in parts:
+            if normalised(part):
+                if k not in cuts:
+                    kept.append(part)
+                k += 1
+            else:
+                kept.append(part)
+        if kept:
+            out.append("".join(kept))
+    return "\n".join(out)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
-    """As dedup_lines, with the units of repeated runs cut."""
-    return _without(docs, run_repeats(docs), fine_sentences)
-
-
-def _without(docs: DataFrame, found: DataFrame, parts) -> DataFrame:
-    cuts = (
-        found
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set("unit").alias("__cuts"))
-        .withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key"})
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
-    joined = docs.join(cuts, same, "left").drop("__doc_id", "__text_key")
-    is_cut = lambda place: F.array_contains("__cuts", place)
-
-    def rest(line: Column, i: Column) -> Column:
-        """The line without its cut sentences; null if it goes whole."""
-        at = i.cast("long") * PLACE
-        left = F.filter(parts(line), lambda _, j: ~is_cut(at + j + 1))
-        return F.when(is_cut(at), F.lit(None)).when(F.size(left) == 0, F.lit(None)).otherwise(F.array_join(left, ""))
-
-    kept = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), rest)), "\n")
-    touched = F.col("__cuts").isNotNull() & F.col("text").isNotNull()
-    return joined.withColumns({"kept_text": F.when(touched, kept).otherwise(F.col("text")), "n_removed": F.coalesce(F.array_size("__cuts"), F.lit(0))}).drop("__cuts")
+    """docs' rows with two more columns, `kept_text` and `n_removed` (units that were cut), or longer names if those are taken."""
+    kept, removed = fresh(docs, "kept_text"), fresh(docs, "n_removed")
+    ids = [fresh(docs, x) for x in ("cut_doc", "cut_key", "cuts")]
+    # Distinct first, so that rows repeated any number of times give one list.
+    cuts = repeats(docs).select("doc_id", "text_key", "spans").distinct().groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("cuts"))
+    cuts = cuts.toDF(*ids)
+    same = docs["doc_id"].eqNullSafe(F.col(ids[0])) & (F.xxhash64(docs["text"]) == F.col(ids[1]))
+    joined = docs.join(cuts, same, "left").drop(*ids[:2])
+    place, n, names = docs.columns.index("text"), len(docs.columns), [*docs.columns, kept, removed]
+
+    def rewritten(batches):
+        for b in batches:
+            texts, counts = [], []
+            for text, spans in zip(b.column(place).to_pylist(), b.column(n).to_pylist(), strict=True):
+                gone = set(np.frombuffer(b"".join(spans), np.int32)[::3].tolist()) if spans else set()
+                texts.append(without(text, gone) if gone else text)
+                counts.append(len(gone))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, b.column(place).type), pa.array(counts, pa.int32())], names=names)
+
+    schema = docs.withColumns({kept: F.col("text"), removed: F.lit(0)}).schema
+    return joined.mapInArrow(rewritten, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each removed span: document, place in the original text, and the document that keeps the passage."""
+    """A row for each removed unit: document, place in the original text, and the document that keeps the passage."""
     return removed_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated runs of units, n_chars as they are now; a document that loses every unit goes."""
     done = dedup_runs(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
-    left = done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("kept_text"))
+    kept, removed = done.columns[-2:]
+    emptied = (F.col(removed) > 0) & (F.trim(kept) == "")
+    left = done.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col(kept))
     if dict(docs.dtypes).get("n_chars") == "bigint":
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+        left = left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.drop(kept, removed)
 
 
 SQL = {
-    "op8_substring_dedup": r"""
+    "op8_substring_dedup": rf"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), p AS (
-  SELECT *, COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start,
-    string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS parts
+  SELECT doc_id, i, COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start,
+    string_split(regexp_replace(line, '([.!?] |[。！？])', '\1' || chr(1), 'g'), chr(1)) AS parts
   FROM l
 ), e AS (
-  SELECT doc_id, i, 0 AS j, line AS part, line_start AS start FROM p
-  UNION ALL
-  SELECT doc_id, i, j, part, line_start + COALESCE(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-  FROM (SELECT doc_id, i, line_start, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM p WHERE regexp_matches(line, '[.!?] .'))
-), n AS (
-  SELECT *, lower(trim(regexp_replace(part, '[ \t\r\f\x0B]+', ' ', 'g'), ' ')) AS norm FROM e
+  SELECT doc_id, i, line_start, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM p
+), o AS (
+  SELECT doc_id, i, j, part, line_start + COALESCE(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    lower(trim(regexp_replace(part, '[ \t\r\f\x0B]+', ' ', 'g'), ' ')) AS norm
+  FROM e
 ), u AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS rn, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS first_doc_id
-  FROM n WHERE len(string_split(norm, ' ')) >= 8
+  SELECT doc_id, start, start + length(part) AS stop, norm, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k,
+    greatest(len(string_split(norm, ' ')), length(regexp_replace(norm, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]', '', 'g')) // 2) AS words
+  FROM o WHERE norm <> ''
 ), c AS (
-  SELECT *, min(j) OVER (PARTITION BY doc_id, i) AS least FROM u WHERE rn > 1
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS total FROM u
+), r AS (
+  SELECT x.doc_id, x.k AS a, min(y.k) AS b FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + {MIN_WORDS - 1} AND y.total - x.total + x.words >= {MIN_WORDS} GROUP BY 1, 2
+  UNION
+  SELECT x.doc_id, max(y.k) AS a, x.k AS b FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k - {MIN_WORDS - 1} AND x.k AND x.total - y.total + y.words >= {MIN_WORDS} GROUP BY 1, 3
+), d AS (
+  SELECT r.doc_id, a, b, string_agg(norm, chr(10) ORDER BY k) AS digest FROM r JOIN u ON r.doc_id = u.doc_id AND k BETWEEN a AND b GROUP BY 1, 2, 3
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, a) AS n, first_value(doc_id) OVER (PARTITION BY digest ORDER BY doc_id, a) AS first_doc_id FROM d
 )
-SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(part) AS BIGINT) AS "end", first_doc_id FROM c WHERE j = least OR least > 0
+SELECT u.doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", min(first_doc_id) AS first_doc_id
+FROM f JOIN u ON f.doc_id = u.doc_id AND k BETWEEN a AND b WHERE n > 1 GROUP BY 1, 2, 3
 """
 }

@@ -227,95 +227,68 @@ def test_toxicity_without_labels(spark):
     assert T.fit(df).stems == {} and T.fit(df.where("toxic = 1")).score(["moron"])[0] < 0.5
 
 
-def brute_dedup(rows):
-    """(doc, start, end, first doc) of removed spans, and each (doc, text)'s text that is left."""
-    import re
-
-    seen, out, left = {}, [], {}
-    for doc, text in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
-        at, kept = 0, []
-
-        def later(part):
-            key = " ".join(x for x in re.split(r"[ \t\r\f\v]+", part) if x).lower()
-            if len(key.split(" ")) < 8:
-                return False
-            if key in seen:
-                return True
-            seen[key] = doc
-            return False
-
-        for line in text.split("\n"):
-            whole = lambda part: seen[" ".join(x for x in re.split(r"[ \t\r\f\v]+", part) if x).lower()]
-            parts = re.split(r"(?<=[.!?] )", line) if re.search(r"[.!?] .", line) else []
-            if later(line):
-                out.append((doc, at, at + len(line), whole(line)))
-                [later(p) for p in parts]
-            else:
-                place, stay = at, []
-                for p in parts:
-                    if later(p):
-                        out.append((doc, place, place + len(p), whole(p)))
-                    else:
-                        stay.append(p)
-                    place += len(p)
-                if stay or not parts:
-                    kept.append("".join(stay) if parts else line)
-            at += len(line) + 1
-        left[doc, text] = "\n".join(kept)
-    return sorted(map(str, out)), left
-
-
-def test_line_dedup(spark, tmp_path):
-    r = random.Random(6)
-    lines = [prose(r, "de", r.randint(3, 20)) for _ in range(25)]
-    passage = ". ".join(prose(r, "en", r.randint(5, 14)) for _ in range(6)) + ". "
-    rows = [(k, "\n".join(r.choice(lines) if r.random() < 0.6 else prose(r, "fr", 12) + str(k) for _ in range(r.randint(1, 8)))) for k in range(80)]
-    rows += [(100 + k, prose(r, "fr", 15) + f" {k}. " + passage + prose(r, "fr", 9) + f" {k}!") for k in range(5)]
-    rows += [(200, None), (201, ""), (202, "  " + lines[0].upper() + "\t \n\n" + lines[0]), (203, "😀 " * 9 + "\n" + "😀 " * 9), (204, passage), (None, "\n".join(lines)), (5, rows[5][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit("u"), "digest": F.lit(1), "removed": F.lit(2)})
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    spans, left = brute_dedup(rows)
-    got = N.op8_substring_dedup(spark, str(tmp_path)).collect()
-    assert sorted(str((x.doc_id, x.start, x.end, x.first_doc_id)) for x in got) == spans
-    assert {x.doc_id for x in got} >= {101, 102, 103, 104, 204} and 100 not in {x.doc_id for x in got}
-    done = N.dedup_lines(df).collect()
-    assert len(done) == len(rows) and all(x.kept_text == left.get((x.doc_id, x.text)) for x in done)
-    kept = N.stage(spark, df, "")
-    assert kept.columns == df.columns
-    assert N.dedup_lines(df.where("doc_id < 0")).count() == 0 and N.removed_spans(df.where("doc_id < 0")).count() == 0
-
-
 def test_line_dedup_same_id_other_text(spark):
     line = " ".join("abcdefgh")
     df = spark.createDataFrame([(1, line), (2, f"keep me\n{line}"), (2, "another text\nof this id")], "doc_id long, text string")
-    done = sorted(x.kept_text for x in N.dedup_lines(df).collect())
+    done = sorted(x.kept_text for x in N.dedup_runs(df).collect())
     assert done == sorted([line, "keep me", "another text\nof this id"])
 
 
 def brute_runs(rows):
-    """Each (doc, text)'s text without the units of repeated runs."""
+    """Each (doc, text)'s text without the units of repeated runs, and (doc, start, end, first doc) of each removed unit."""
     import re
 
-    places, texts = {}, {}
+    places, texts, spans = {}, {}, {}
     for doc, text in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
         lines = [re.split(r"(?<=[.!?] )|(?<=[。！？])", line) for line in text.split("\n")]
-        units = [(i, j, " ".join(p.split()).lower()) for i, line in enumerate(lines) for j, p in enumerate(line)]
+        units, at = [], 0
+        for i, line in enumerate(lines):
+            for j, p in enumerate(line):
+                units.append((i, j, " ".join(p.split()).lower()))
+                spans[doc, text, (i, j)] = (at, at + len(p))
+                at += len(p)
+            at += 1
         units = [(u, len(re.findall(r"[\u3040-\u9fff]", u[2])) // 2) for u in units if u[2]]
         units = [(u, max(n, len(u[2].split(" ")))) for u, n in units]
         texts[doc, text] = lines
         for a in range(len(units)):
-            for b in range(a, len(units)):
+            for b in range(a, min(len(units), a + 20)):
                 inside = units[a : b + 1]
                 if sum(n for _, n in inside) < 8:
                     continue
                 if sum(n for _, n in inside[1:]) < 8 or sum(n for _, n in inside[:-1]) < 8:
                     places.setdefault(tuple(u[2] for u, _ in inside), []).append((doc, text, [u[:2] for u, _ in inside]))
-    cut = {(doc, text, u) for met in places.values() for doc, text, us in met[1:] for u in us}
+    cut = {}
+    for met in places.values():
+        for doc, text, us in met[1:]:
+            for u in us:
+                cut.setdefault((doc, text, u), []).append(met[0][0])
     left = {}
     for (doc, text), lines in texts.items():
         kept = [[p for j, p in enumerate(line) if (doc, text, (i, j)) not in cut] for i, line in enumerate(lines)]
         left[doc, text] = "\n".join("".join(k) for k in kept if k)
-    return left
+    first = lambda ids: min((x for x in ids if x is not None), default=None)
+    return left, sorted(str((key[0], *spans[key], first(ids))) for key, ids in cut.items())
+
+
+def test_line_dedup(spark, tmp_path):
+    r = random.Random(6)
+    lines = [prose(r, "de", r.randint(3, 20)) for _ in range(25)]
+    passage = ". ".join(prose(r, "en", r.randint(5, 14)) for _ in range(6)) + ". "
+    rows = [(k, "\n".join(r.choice(lines) if r.random() < 0.6 else prose(r, "fr", 12) + str(k) for _ in range(r.randint(1, 8)))) for k in range(80)]
+    rows += [(100 + k, prose(r, "fr", 15) + f" {k}. " + passage + prose(r, "fr", 9) + f" {k}!") for k in range(5)]
+    rows += [(200, None), (201, ""), (202, "  " + lines[0].upper() + "\t \n\n" + lines[0]), (203, "😀 " * 9 + "\n" + "😀 " * 9), (204, passage), (None, "\n".join(lines)), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit("u"), "spans": F.lit(1), "d1": F.lit(2), "kept_text": F.lit("mine"), "n_removed": F.lit(7), "cuts": F.lit(0)})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    left, spans = brute_runs(rows)
+    got = N.op8_substring_dedup(spark, str(tmp_path)).collect()
+    assert sorted(str((x.doc_id, x.start, x.end, x.first_doc_id)) for x in got) == spans
+    assert {x.doc_id for x in got} >= {101, 102, 103, 104, 204} and 100 not in {x.doc_id for x in got}
+    done = N.dedup_runs(df).collect()
+    assert len(done) == len(rows) and all(x.kept_text_ == left.get((x.doc_id, x.text)) and (x.kept_text, x.n_removed) == ("mine", 7) for x in done)
+    kept = N.stage(spark, df, "")
+    assert kept.columns == df.columns and {(x.kept_text, x.n_removed) for x in kept.collect()} == {("mine", 7)}
+    assert N.dedup_runs(df.where("doc_id < 0")).count() == 0 and N.removed_spans(df.where("doc_id < 0")).count() == 0
 
 
 def test_runs_of_short_units(spark):
@@ -327,7 +300,7 @@ def test_runs_of_short_units(spark):
     rows = [(1, notice), (2, f"own words of two\n{notice}\nown end"), (3, verse), (4, f"Own start. {verse}Own end."), (5, chinese), (6, "我先说一句。" + chinese), (7, "two words\n\nin common"), (8, "two words\nin common")]
     rows += [(20 + k, r.choice(["\n", "\n\n", ". "]).join(r.choice(short) for _ in range(r.randint(1, 12)))) for k in range(30)] + [(None, verse), (90, None), (91, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    left = brute_runs(rows)
+    left, _ = brute_runs(rows)
     done = {(x.doc_id, x.text): x.kept_text for x in N.dedup_runs(df).collect()}
     assert len(done) == len(rows) and all(v == left.get(k) for k, v in done.items())
     kept = {x.doc_id: x.text for x in N.stage(spark, df, "").collect()}
