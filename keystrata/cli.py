@@ -24,8 +24,12 @@ from .operators import validate as V
 from .sources import fixedrec as X
 
 
-def session(level: str = "WARN") -> SparkSession:
-    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+def session(level: str = "WARN", log_file: str | None = None) -> SparkSession:
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if log_file:
+        os.makedirs(os.path.dirname(os.path.abspath(log_file)), exist_ok=True)
+        handlers.append(logging.FileHandler(log_file))
+    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s %(message)s", handlers=handlers, force=bool(log_file))
     logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName("keystrata").getOrCreate()
     spark.sparkContext.setLogLevel(level)
@@ -64,12 +68,13 @@ def generate(spark: SparkSession, where: str, per_file: int, offset: int, files:
 def main(args: Sequence[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="keystrata")
     top.add_argument("--log-level", default=os.environ.get("LOG_LEVEL", "WARN"))
+    top.add_argument("--log-file", help="also log to this file")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("sort")
     p.add_argument("-I", "--inputs", nargs="+", required=True)
     p.add_argument("-O", "--output", required=True)
     p.add_argument("-n", "--partitions", type=int, default=8)
-    p.add_argument("--strategy", choices=["bernoulli", "hash", "head", "exact"], default="bernoulli")
+    p.add_argument("--strategy", choices=["bernoulli", "hash", "head", "exact"], help="default: head")
     p = sub.add_parser("view")
     p.add_argument("file")
     p.add_argument("most", nargs="?", type=int)
@@ -83,7 +88,7 @@ def main(args: Sequence[str] | None = None) -> int:
     p.add_argument("-c", "--files", type=int, default=1)
     p.add_argument("-r", "--reset", action="store_true")
     a = top.parse_args(args)
-    spark = session(a.log_level)
+    spark = session(a.log_level, a.log_file) if a.log_file else session(a.log_level)
     if a.command == "sort":
         print(X.sort_files(spark, [d for x in a.inputs for d in x.split(",") if d], a.output, a.partitions, strategy=a.strategy), "records")
     elif a.command == "view":

@@ -16,6 +16,7 @@ class SortConfig:
     memory_bytes, memory_ratio: what a driver may use, and the share of it that samples may.
     bytes_per_worker: sample bytes for each output partition.
     head_records: whole records that head sampling takes from each source.
+    simple_sampling: whether sorts of files sample heads unless told otherwise; skewed on sorted input.
     """
 
     record_length: int = 100
@@ -25,6 +26,7 @@ class SortConfig:
     memory_ratio: float = 0.3
     bytes_per_worker: int = MIB // 2
     head_records: int = 10_000
+    simple_sampling: bool = True
     file_prefix: str = "partition."
     first_file: int = 1
 

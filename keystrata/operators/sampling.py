@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..config import SortConfig
 
 DEFAULT = SortConfig()
+#: Sampled keys for each partition.
+SAMPLES = 100
 
 
 def sample_budget(partitions: int, config: SortConfig = DEFAULT) -> int:
@@ -19,6 +21,11 @@ def sample_budget(partitions: int, config: SortConfig = DEFAULT) -> int:
     return int(min(by_memory, by_partition))
 
 
+def sample_size(partitions: int, config: SortConfig = DEFAULT) -> int:
+    """Keys that come to the driver: SAMPLES for each partition balance the ranges; the budget is an upper bound."""
+    return min(sample_budget(partitions, config), SAMPLES * partitions)
+
+
 def sampling_ratio(total: int, budget: int) -> float:
     """Share of all records that gives the budget: 0 for no records, at most 1."""
     return 0.0 if total <= 0 else min(budget / total, 1.0)
@@ -44,5 +51,8 @@ def hash_position(key: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, key: Column, ratio: float) -> DataFrame:
-    """The rows whose key's digest falls below the ratio: the same rows on any layout, all or none of equal keys."""
+    """The rows whose key's digest falls below the ratio: the same rows on any layout, all or none of equal keys.
+
+    A key may hold any share of the rows: group by it before anything is collected.
+    """
     return df.where(hash_position(key) < F.lit(int(ratio * (1 << 32))))

@@ -20,7 +20,7 @@ from ..sources import fixedrec as X
 
 CONFIG = SortConfig()
 #: Ranges of the queries, runs of a merge pass, and records of an output file.
-W, FAN_IN, PER_CHUNK, HEAD = 7, 3, 500, 100
+W, FAN_IN, PER_CHUNK, HEAD, ODD = 7, 3, 500, 100, 64
 TIES = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -98,10 +98,13 @@ def key_value_projection(spark, sf_dir):
 
 
 def record_count(spark, sf_dir):
-    """Files of unaligned sizes: records of all bytes together, and whole records of each file."""
-    sizes = _lines(spark, sf_dir).groupBy("src", "l_linenumber").agg((F.count(F.lit(1)) * CONFIG.record_length + F.first("l_linenumber") * 13).alias("bytes"))
-    n = CONFIG.record_length
-    return sizes.groupBy("src").agg(F.floor(F.sum("bytes") / n).alias("record_count_bytes"), F.sum(F.floor(F.col("bytes") / n)).alias("record_count"))
+    """Sizes of the files of each source, taken as records of ODD bytes, which the files' ends cut: records of all bytes together, and whole records of each file."""
+    where = _scratch(spark)
+    lines = _lines(spark, sf_dir).select(F.col("src").cast("int").alias("src"), "record")
+    X.write_records(O.exchange(lines, 4, "src").select("record"), where, SortConfig(chunk_bytes=PER_CHUNK * 100))
+    folders = [(src, [os.path.join(where, f"worker_{src + 1}")]) for src in range(4)]
+    rows = [(src, X.record_count(f, ODD), X.whole_record_count(f, ODD)) for src, f in folders]
+    return spark.createDataFrame(rows, "src long, record_count_bytes long, record_count long")
 
 
 def multi_source_union(spark, sf_dir):
@@ -139,18 +142,18 @@ def sample_sort(spark, sf_dir):
 
 def select_pivots(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return O.exact_pivots(O.global_rank(lines.select("key"), ["key"], W), "key", W).select("pivot", F.hex("key").alias("key_hex"))
+    return O.exact_pivots(lines, "key", W).select("pivot", F.hex("key").alias("key_hex"))
 
 
 def select_pivots_few(spark, sf_dir):
     """Fewer samples than partitions give no split point."""
     few = _table(spark, sf_dir, "region").select(F.col("r_name").cast("binary").alias("key"))
-    return O.exact_pivots(O.global_rank(few, ["key"], 2), "key", W).select("pivot", F.hex("key").alias("key_hex"))
+    return O.exact_pivots(few, "key", W).select("pivot", F.hex("key").alias("key_hex"))
 
 
 def padded_pivots(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    points = O.exact_pivots(O.global_rank(lines.select("key"), ["key"], W), "key", W)
+    points = O.exact_pivots(lines, "key", W)
     return points.select("pivot", F.hex(R.padded(F.col("key"))).alias("record_hex"))
 
 
@@ -205,6 +208,18 @@ def kway_merge(spark, sf_dir):
 
 
 def multi_pass_merge(spark, sf_dir):
+    """Each range's runs, one of every source, merged in passes of a small fan-in."""
+    merged = O.merge_passes(_runs(spark, sf_dir), "key", FAN_IN, 4, by="pid", run="src", ties=TIES)
+    return _hexed(merged, "pid", "merged_pos", "n_passes")
+
+
+def merge_fan_in(spark, sf_dir):
+    """Files that a pass takes at once, by heap, open files and threads that share both."""
+    rows = [(heap, files, threads, O.merge_fan_in(heap // threads, files // threads if threads > 1 else files)) for heap in (1 << 24, 1 << 30, 1 << 33) for files in (64, 1024, 4096) for threads in (1, 4)]
+    return spark.createDataFrame(rows, "heap_bytes long, open_files int, threads int, fan_in int")
+
+
+def merge_groups(spark, sf_dir):
     """First-pass groups of each range's runs."""
     return O.merge_groups(C.expected_runs(_files(spark, sf_dir), W), FAN_IN, ["i", "k"], "j")
 
@@ -242,8 +257,14 @@ def validate_summary(spark, sf_dir):
 
 
 def validate_range(spark, sf_dir):
-    ranged, points = _ranged(spark, sf_dir)
-    return V.out_of_range(ranged, "key", "pid", points).agg(F.count(F.lit(1)).alias("n_out"))
+    """Written files read back: records that stand in another worker's folder than their key's range says."""
+    where, lines = _scratch(spark), _lines(spark, sf_dir)
+    points = _pivots(lines)
+    X.write_records(O.sort_records(lines, "key", W, pivots=points).select("record"), where, CONFIG)
+    back = X.read_sorted(spark, where).select((F.col("worker") - 1).alias("pid"), R.key_of(F.col("record")).alias("key"))
+    out = V.out_of_range(back, "key", "pid", points).groupBy("pid").agg(F.count(F.lit(1)).alias("n_out"))
+    read = back.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    return read.join(F.broadcast(out), "pid", "left").fillna(0, ["n_out"])
 
 
 def conservation(spark, sf_dir):
@@ -285,7 +306,7 @@ def view_ascii(spark, sf_dir):
 
 def view_detailed(spark, sf_dir):
     shown = R.detailed_view(_lines(spark, sf_dir))
-    return shown.select("key_hex", "value_hex", "value_ascii")
+    return shown.select("key_hex", "key_ascii", "value_hex", "value_ascii")
 
 
 def view_topk(spark, sf_dir):
@@ -302,17 +323,26 @@ def demo_records(spark, sf_dir):
     return R.demo(spark).select("id", F.hex(R.key_of(F.col("record"))).alias("key_hex"), R.to_ascii(R.value_of(F.col("record"))).alias("value"))
 
 
-def _arrived():
-    """A simulated outcome of each run's transfer."""
-    return (F.col("i") * 7 + F.col("j") * 3 + F.col("k")) % 5 != 0
+def _outcomes(spark, sf_dir):
+    """An exchange that loses some runs on its way: what of each (source, range) arrived, by counting rows."""
+    ranged, _ = _ranged(spark, sf_dir)
+    arrived = O.exchange(ranged, W).where((F.col("src") * 7 + F.col("pid") * 3) % 5 != 0)
+    return T.outcomes(ranged, arrived)
 
 
 def transfer_tally(spark, sf_dir):
-    return T.tally(C.expected_runs(_files(spark, sf_dir), W), _arrived())
+    return T.tally(_outcomes(spark, sf_dir), F.col("ok"))
 
 
 def failures_by_source(spark, sf_dir):
-    return T.failures_by_source(C.expected_runs(_files(spark, sf_dir), W), _arrived())
+    return T.failures_by_source(_outcomes(spark, sf_dir), F.col("ok"), "src")
+
+
+def exchange_rounds(spark, sf_dir):
+    """Which runs each strategy fetches together."""
+    runs = C.expected_runs(_files(spark, sf_dir), W)
+    rounds = [T.rounds(runs, s).select(F.lit(s).alias("strategy"), "i", "j", "k", "round") for s in T.STRATEGIES]
+    return rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).unionByName(rounds[3])
 
 
 def _write_inputs(spark, lines, where):
@@ -343,8 +373,8 @@ QUERIES = {
     for f in (
         global_sort, sort_text_key, sort_event_key, range_sort, spread_sort, key_value_projection, record_count, multi_source_union, head_sample, hash_sample, bernoulli_sample, sampling_ratio,
         sample_sort, select_pivots, select_pivots_few, padded_pivots, range_partition, partition_histogram, local_sort_runs, run_names, run_catalog, needed_runs, full_catalog, exchange,
-        kway_merge, multi_pass_merge, merge_plan, chunk_split, validate_order, validate_unsorted, validate_summary, validate_range, conservation, checksum, crc_checksum, min_max_key,
-        phase_counters, view_hex, view_ascii, view_detailed, view_topk, generate_records, demo_records, transfer_tally, failures_by_source, file_roundtrip, sort_files,
+        kway_merge, multi_pass_merge, merge_groups, merge_fan_in, merge_plan, chunk_split, validate_order, validate_unsorted, validate_summary, validate_range, conservation, checksum, crc_checksum, min_max_key,
+        phase_counters, view_hex, view_ascii, view_detailed, view_topk, generate_records, demo_records, transfer_tally, failures_by_source, exchange_rounds, file_roundtrip, sort_files,
     )
 }
 
@@ -372,8 +402,13 @@ ORACLE_SQL = {
     "sort_event_key": "SELECT row_number() OVER (ORDER BY user_id, event_id) AS rank, lpad(hex(user_id), 16, '0') AS key_hex, event_id FROM events",
     "range_sort": f"WITH {_L}, {_R} SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY key_hex, {_T}) AS INTEGER) AS merged_pos, key_hex FROM r",
     "key_value_projection": f"WITH {_L} SELECT key_hex, value_hex FROM l",
-    "record_count": "WITH b AS (SELECT l_suppkey % 4 AS src, l_linenumber, count(*) * 100 + l_linenumber * 13 AS bytes FROM lineitem GROUP BY 1, 2) "
-    "SELECT src, CAST(sum(bytes) // 100 AS BIGINT) AS record_count_bytes, CAST(sum(bytes // 100) AS BIGINT) AS record_count FROM b GROUP BY src",
+    "record_count": f"SELECT l_suppkey % 4 AS src, CAST(count(*) * 100 // {ODD} AS BIGINT) AS record_count_bytes, "
+    f"CAST(count(*) // {PER_CHUNK} * ({PER_CHUNK * 100} // {ODD}) + count(*) % {PER_CHUNK} * 100 // {ODD} AS BIGINT) AS record_count FROM lineitem GROUP BY 1",
+    "spread_sort": f"""WITH o AS (SELECT lpad(hex(o_custkey), 16, '0') AS k, lpad(hex(o_custkey), 16, '0') || upper(md5(CAST(o_orderkey AS VARCHAR))) AS key_hex FROM orders),
+s AS (SELECT key_hex, row_number() OVER (ORDER BY key_hex) - 1 AS rn, count(*) OVER () AS n FROM o),
+piv AS (SELECT s.key_hex FROM s, (SELECT unnest(generate_series(1, {W - 1})) AS i) g WHERE s.rn = i * (n // {W}) + least(i, n % {W}) AND n >= {W}),
+p AS (SELECT CAST((SELECT count(*) FROM piv WHERE piv.key_hex <= o.key_hex) AS INTEGER) AS pid FROM o)
+SELECT pid, count(*) AS n, TRUE AS ok FROM p GROUP BY pid""",
     "multi_source_union": f"WITH {_L}, u AS (SELECT 'lineitem' AS source, key_hex FROM l UNION ALL SELECT 'orders', lpad(hex(o_custkey), 16, '0') FROM orders "
     "UNION ALL SELECT 'events', lpad(hex(user_id), 16, '0') FROM events) SELECT source, key_hex, count(*) AS n FROM u GROUP BY 1, 2",
     "head_sample": f"WITH {_L}, h AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY l_extendedprice, key_hex, l_partkey, l_suppkey) AS n FROM l) "
@@ -394,7 +429,10 @@ ORACLE_SQL = {
     "full_catalog": f"SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(0 AS INTEGER) AS k FROM (SELECT unnest(generate_series(1, {W})) AS i) a, (SELECT unnest(generate_series(1, {W})) AS j) b",
     "exchange": f"WITH {_L}, {_R} SELECT src, pid, count(*) AS sent, count(*) AS received, TRUE AS complete, CAST(0 AS BIGINT) AS misplaced FROM r GROUP BY src, pid",
     "kway_merge": f"WITH {_L}, {_R} SELECT key_hex, pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY key_hex, {_T}) AS INTEGER) AS merged_pos FROM r",
-    "multi_pass_merge": f"WITH {_RUNS} SELECT i, j, k, CAST((row_number() OVER (PARTITION BY j ORDER BY i, k) - 1) // {FAN_IN} AS INTEGER) AS grp FROM c",
+    "multi_pass_merge": f"WITH {_L}, {_R} SELECT key_hex, pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY key_hex, {_T}) AS INTEGER) AS merged_pos, CAST(2 AS INTEGER) AS n_passes FROM r",
+    "merge_groups": f"WITH {_RUNS} SELECT i, j, k, CAST((row_number() OVER (PARTITION BY j ORDER BY i, k) - 1) // {FAN_IN} AS INTEGER) AS grp FROM c",
+    "merge_fan_in": "WITH g AS (SELECT h.v AS heap_bytes, CAST(f.v AS INTEGER) AS open_files, CAST(t.v AS INTEGER) AS threads FROM (SELECT unnest([16777216, 1073741824, 8589934592]) AS v) h, (SELECT unnest([64, 1024, 4096]) AS v) f, (SELECT unnest([1, 4]) AS v) t) "
+    "SELECT heap_bytes, open_files, threads, CAST(greatest(1, least(heap_bytes // threads // 2 // 131072, CAST(floor(least(open_files // threads, 1024) * 0.8) AS BIGINT)) - 1) AS INTEGER) AS fan_in FROM g",
     "merge_plan": f"WITH RECURSIVE p AS (SELECT CAST(n AS INTEGER) AS n_files, 0 AS pass, CAST(n AS INTEGER) AS n_groups FROM (SELECT unnest(generate_series(1, 20)) AS n) g "
     f"UNION ALL SELECT n_files, pass + 1, CAST((n_groups + {FAN_IN - 1}) // {FAN_IN} AS INTEGER) FROM p WHERE n_groups > 1) SELECT n_files, CAST(pass AS INTEGER) AS pass, n_groups FROM p WHERE pass > 0",
     "chunk_split": f"WITH {_L}, {_R}, k AS (SELECT pid, key_hex, CAST((row_number() OVER (PARTITION BY pid ORDER BY key_hex, {_T}) - 1) // {PER_CHUNK} + 1 AS INTEGER) AS chunk FROM r) "
@@ -403,19 +441,22 @@ ORACLE_SQL = {
     "validate_unsorted": f"WITH {_L}, o AS (SELECT src, key_hex, lag(key_hex) OVER (PARTITION BY src ORDER BY l_extendedprice, key_hex, l_partkey, l_suppkey) AS before FROM l) "
     "SELECT src, count(*) AS n, CAST(sum(CASE WHEN key_hex < before THEN 1 ELSE 0 END) AS BIGINT) AS n_bad FROM o GROUP BY src",
     "validate_summary": f"WITH {_L}, {_R} SELECT pid, count(*) AS n, min(key_hex) AS first_key, max(key_hex) AS last_key, CAST(sum({_MD5.format('key_hex')}) AS BIGINT) AS checksum, TRUE AS in_order FROM r GROUP BY pid",
-    "validate_range": "SELECT CAST(0 AS BIGINT) AS n_out",
+    "validate_range": f"WITH {_L}, {_R} SELECT pid, count(*) AS n, CAST(0 AS BIGINT) AS n_out FROM r GROUP BY pid",
     "conservation": "SELECT count(*) AS input_records, count(*) AS output_records, TRUE AS conserved FROM lineitem",
     "checksum": f"WITH {_L} SELECT count(*) AS n, CAST(sum({_MD5.format('key_hex || value_hex')}) AS BIGINT) AS checksum FROM l",
     "min_max_key": f"WITH {_L} SELECT count(*) AS n, min(key_hex) AS min_key, max(key_hex) AS max_key FROM l",
     "phase_counters": "SELECT p AS phase, count(*) AS records FROM lineitem, (SELECT unnest(['sort', 'exchange', 'merge']) AS p) g GROUP BY p",
     "view_hex": f"WITH {_L} SELECT lower(key_hex) AS key_hex, lower(value_hex) AS value_hex FROM l",
     "view_ascii": "SELECT c_custkey, regexp_replace(c_name, '[^ -~]', '.', 'g') AS ascii FROM customer",
-    "view_detailed": f"WITH {_L} SELECT lower(key_hex) AS key_hex, lower(value_hex) AS value_hex, value AS value_ascii FROM l",
+    "view_detailed": f"WITH {_L} SELECT lower(key_hex) AS key_hex, array_to_string(list_transform(regexp_extract_all(key_hex, '..'), lambda x: CASE WHEN x BETWEEN '20' AND '7E' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END), '') AS key_ascii, lower(value_hex) AS value_hex, value AS value_ascii FROM l",
     "view_topk": f"WITH {_L}, t AS (SELECT *, row_number() OVER (ORDER BY key_hex, {_T}) - 1 AS n FROM l) SELECT CAST(n AS VARCHAR) || ': ' || lower(key_hex) || ' ' || value AS line FROM t WHERE n < 20",
     "generate_records": "SELECT id, upper(substr(md5(CAST(id AS VARCHAR)), 1, 20)) AS key_hex, rpad(CAST(id AS VARCHAR), 90, ' ') AS value FROM (SELECT unnest(generate_series(500, 1499)) AS id) g",
     "demo_records": "SELECT id, lpad(hex(id), 20, '0') AS key_hex, rpad('Record number ' || CAST(id AS VARCHAR), 90, ' ') AS value FROM (SELECT unnest(generate_series(0, 9)) AS id) g",
-    "transfer_tally": f"WITH {_RUNS} SELECT CAST(sum(CASE WHEN (i * 7 + j * 3 + k) % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_success, CAST(sum(CASE WHEN (i * 7 + j * 3 + k) % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failure FROM c",
-    "failures_by_source": f"WITH {_RUNS} SELECT i, count(*) AS n_failure FROM c WHERE (i * 7 + j * 3 + k) % 5 = 0 GROUP BY i",
+    "transfer_tally": f"WITH {_L}, {_R}, c AS (SELECT DISTINCT src, pid FROM r) SELECT CAST(sum(CASE WHEN (src * 7 + pid * 3) % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_success, CAST(sum(CASE WHEN (src * 7 + pid * 3) % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failure FROM c",
+    "failures_by_source": f"WITH {_L}, {_R}, c AS (SELECT DISTINCT src, pid FROM r) SELECT src, count(*) AS n_failure FROM c WHERE (src * 7 + pid * 3) % 5 = 0 GROUP BY src",
+    "exchange_rounds": f"WITH {_RUNS}, n AS (SELECT *, row_number() OVER (ORDER BY i, j, k) - 1 AS a, row_number() OVER (PARTITION BY i ORDER BY i, j, k) - 1 AS b FROM c), "
+    "u AS (SELECT 'sequential' AS strategy, i, j, k, a AS round FROM n UNION ALL SELECT 'limited', i, j, k, a // 10 FROM n UNION ALL SELECT 'per_source', i, j, k, b FROM n UNION ALL SELECT 'independent', i, j, k, 0 FROM n) "
+    "SELECT strategy, i, j, k, CAST(round AS INTEGER) AS round FROM u",
     "file_roundtrip": f"WITH {_L} SELECT key_hex, value_hex FROM l",
     "sort_files": f"WITH {_L}, {_R}, k AS (SELECT pid, key_hex, row_number() OVER (PARTITION BY pid ORDER BY key_hex) - 1 AS n FROM r) "
     f"SELECT CAST(pid + 1 AS INTEGER) AS worker, CAST(n // {PER_CHUNK} + 1 AS INTEGER) AS file, CAST(n % {PER_CHUNK} AS BIGINT) AS pos, key_hex FROM k",

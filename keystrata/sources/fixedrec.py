@@ -2,12 +2,15 @@
 
 Read: every regular file directly inside the given folders (or named itself), in
 path order; missing folders are skipped; a trailing partial record is dropped.
-Files are cut in slices of whole records, so one file is read by many tasks.
+Large files are cut in slices of whole records, and small ones are packed, so a task
+reads about as many bytes as any other, from one file or many.
 
 Write: partition i of the written frame becomes worker_{i+1}/partition.1, .2, ...
-of at most records-per-file records each; an empty partition writes no file. A
+of at most records-per-file records each; an empty partition writes no file. Appended
+files are numbered on from the greatest there. A
 task writes under a name of its attempt, and the driver renames on commit, so
-failed and repeated tasks leave nothing behind. Folders must be visible to all
+failed and repeated tasks leave nothing behind; what is overwritten is moved aside
+first and deleted last. Folders must be visible to all
 executors under the same path.
 """
 
@@ -29,8 +32,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from ..config import SortConfig
 from ..operators.sort import choose_pivots, sort_records
 
-#: Records of one slice and of one Arrow batch.
-SLICE, BATCH = 1 << 22, 1 << 16
+#: Bytes that a task reads at most, what opening a file counts for, and records of one Arrow batch.
+SLICE_BYTES, OPEN_BYTES, BATCH = 64 << 20, 1 << 18, 1 << 16
 
 
 def normalised_paths(paths: Sequence[str]) -> list[str]:
@@ -62,9 +65,9 @@ def whole_record_count(paths: Sequence[str], record_length: int = 100) -> int:
 
 @dataclass
 class Slice(InputPartition):
-    path: str
-    start: int
-    count: int
+    """Pieces (path, first record, records) that one task reads."""
+
+    pieces: list
 
 
 class _Reader(DataSourceReader):
@@ -73,39 +76,61 @@ class _Reader(DataSourceReader):
         self.length = int(options.get("recordlength", 100))
         self.key = int(options.get("keylength", 10))
         self.most = int(options["maxrecords"]) if "maxrecords" in options else None
+        self.head = int(options["headrecords"]) if "headrecords" in options else None
+        self.tasks = max(1, int(options.get("parallelism", 1)))
         self.fields = fields
         if self.length <= 0 or not 0 < self.key <= self.length:
             raise ValueError("recordLength must be positive and keyLength between 1 and recordLength")
 
+    def _files(self) -> Iterator[tuple[str, int]]:
+        """Files and the records that are wanted of each: the first `most` of all, the first `head` of each path given."""
+        left = self.most
+        for group in [[p] for p in self.paths] if self.head is not None else [self.paths]:
+            own = self.head
+            for f in list_files(group):
+                n = os.path.getsize(f) // self.length
+                n = min([n, *(x for x in (left, own) if x is not None)])
+                left = None if left is None else left - n
+                own = None if own is None else own - n
+                if n:
+                    yield f, n
+
     def partitions(self) -> Sequence[InputPartition]:
-        out, left = [], self.most
-        for f in list_files(self.paths):
-            n = os.path.getsize(f) // self.length
-            if left is not None:
-                n = min(n, left)
-                left -= n
-            out += [Slice(f, k, min(SLICE, n - k)) for k in range(0, n, SLICE)]
-        return out or [Slice("", 0, 0)]
+        files = list(self._files())
+        total = sum(n * self.length + OPEN_BYTES for _, n in files)
+        most = max(self.length, min(SLICE_BYTES, max(OPEN_BYTES, total // self.tasks)))
+        out: list[list] = []
+        room = 0
+        for f, n in files:
+            at = 0
+            while at < n:
+                if room < self.length:
+                    out.append([])
+                    room = most
+                take = min(n - at, max(1, room // self.length))
+                out[-1].append((f, at, take))
+                at += take
+                room -= take * self.length + OPEN_BYTES
+        return [Slice(x) for x in out] or [Slice([])]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
-        with open(part.path, "rb", buffering=128 << 10) as f:
-            f.seek(part.start * self.length)
-            done = 0
-            while done < part.count:
-                n = min(BATCH, part.count - done)
-                data = f.read(n * self.length)
-                n = len(data) // self.length
-                if not n:
-                    return
-                yield self._batch(data[: n * self.length], n, part, part.start + done)
-                done += n
-
-    def _batch(self, data: bytes, n: int, part: Slice, first: int) -> pa.RecordBatch:
+        for path, start, count in part.pieces:
+            with open(path, "rb", buffering=128 << 10) as f:
+                f.seek(start * self.length)
+                done = 0
+                while done < count:
+                    n = min(BATCH, count - done)
+                    data = f.read(n * self.length)
+                    n = len(data) // self.length
+                    if not n:
+                        break
+                    yield self._batch(data[: n * self.length], n, path, start + done)
+                    done += n
+
+    def _batch(self, data: bytes, n: int, path: str, first: int) -> pa.RecordBatch:
         # One buffer of fixed-width values; no record is touched one by one.
         whole = pa.Array.from_buffers(pa.binary(self.length), n, [None, pa.py_buffer(data)])
-        columns = {"record": lambda: whole.cast(pa.binary()), "key": lambda: self._cut(data, n, 0, self.key), "value": lambda: self._cut(data, n, self.key, self.length), "path": lambda: pa.array([part.path] * n), "pos": lambda: pa.array(range(first, first + n), pa.int64())}
+        columns = {"record": lambda: whole.cast(pa.binary()), "key": lambda: self._cut(data, n, 0, self.key), "value": lambda: self._cut(data, n, self.key, self.length), "path": lambda: pa.array([path] * n), "pos": lambda: pa.array(range(first, first + n), pa.int64())}
         return pa.RecordBatch.from_arrays([columns[f]() for f in self.fields], names=self.fields)
 
     def _cut(self, data: bytes, n: int, lo: int, hi: int) -> pa.Array:
@@ -177,18 +202,28 @@ class _Writer(DataSourceArrowWriter):
         return part.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if len(part) else b""
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        if self.overwrite and os.path.isdir(self.out):
-            for name in os.listdir(self.out):
-                if name != f"_temp-{self.job}":
-                    p = os.path.join(self.out, name)
-                    shutil.rmtree(p) if os.path.isdir(p) and not os.path.islink(p) else os.remove(p)
+        temp, old = (os.path.join(self.out, f"_{kind}-{self.job}") for kind in ("temp", "old"))
         os.makedirs(self.out, exist_ok=True)
+        if self.overwrite:
+            os.makedirs(old)
+            for name in os.listdir(self.out):
+                if name not in (os.path.basename(temp), os.path.basename(old)):
+                    os.replace(os.path.join(self.out, name), os.path.join(old, name))
         for m in messages:
-            for f in m.files if m else ():
+            if m and m.files:
                 to = os.path.join(self.out, f"worker_{m.worker}")
                 os.makedirs(to, exist_ok=True)
-                os.replace(f, os.path.join(to, os.path.basename(f)))
-        shutil.rmtree(os.path.join(self.out, f"_temp-{self.job}"), ignore_errors=True)
+                first = self._greatest(to) + 1
+                for k, f in enumerate(m.files):
+                    os.rename(f, os.path.join(to, f"{self.config.file_prefix}{first + k}"))
+        shutil.rmtree(old, ignore_errors=True)
+        shutil.rmtree(temp, ignore_errors=True)
+
+    def _greatest(self, folder: str) -> int:
+        """The greatest file number in a folder, or what comes before the first."""
+        prefix = self.config.file_prefix
+        numbers = [x.removeprefix(prefix) for x in os.listdir(folder) if x.startswith(prefix)]
+        return max((int(x) for x in numbers if x.isdigit()), default=self.config.first_file - 1)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         shutil.rmtree(os.path.join(self.out, f"_temp-{self.job}"), ignore_errors=True)
@@ -217,12 +252,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FixedRecDataSource)
 
 
-def read_records(spark: SparkSession, paths: Sequence[str], config: SortConfig | None = None, columns: str = "record", max_records: int | None = None) -> DataFrame:
-    """Records of all files of the folders. columns: record, key, value, path and pos, those that are needed."""
+def read_records(spark: SparkSession, paths: Sequence[str], config: SortConfig | None = None, columns: str = "record", max_records: int | None = None, head_records: int | None = None) -> DataFrame:
+    """Records of all files of the folders. columns: record, key, value, path and pos, those that are needed.
+
+    max_records: the first so many of all; head_records: the first so many of each folder, and no others are read.
+    """
     config = config or SortConfig()
     register(spark)
     reader = spark.read.format("fixedrec").option("paths", json.dumps(list(paths))).option("columns", columns)
     reader = reader.option("recordLength", config.record_length).option("keyLength", config.key_length)
+    reader = reader.option("parallelism", spark.sparkContext.defaultParallelism)
+    reader = reader if head_records is None else reader.option("headRecords", head_records)
     return (reader if max_records is None else reader.option("maxRecords", max_records)).load()
 
 
@@ -242,22 +282,23 @@ def read_sorted(spark: SparkSession, path: str, config: SortConfig | None = None
     return df.select(part(r"worker_(\d+)/").alias("worker"), part(r"\.(\d+)$").alias("file"), "pos", "record")
 
 
-def sort_files(spark: SparkSession, inputs: Sequence[str], output: str, partitions: int, *, strategy: str = "bernoulli", seed: int = 42, config: SortConfig | None = None) -> int:
+def sort_files(spark: SparkSession, inputs: Sequence[str], output: str, partitions: int, *, strategy: str | None = None, seed: int = 42, config: SortConfig | None = None) -> int:
     """Sorts the records of the input folders into `partitions` key ranges below output; returns how many there were.
 
-    Raises if the number written differs from the number read.
+    strategy: head (the default with simple_sampling), bernoulli (the default without), hash or exact.
+    The number of records comes from the files' sizes. Raises if the number written differs from it.
     """
     config = config or SortConfig()
+    strategy = strategy or ("head" if config.simple_sampling else "bernoulli")
     inputs = normalised_paths(inputs)
-    df = read_records(spark, inputs, config).withColumn("key", F.substring("record", 1, config.key_length))
+    before = whole_record_count(inputs, config.record_length)
     if strategy == "head":
-        heads = read_records(spark, inputs, config, "key,path,pos").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-        points = choose_pivots(heads, "key", partitions, "head", source="folder", order=["path", "pos"], config=config)
+        heads = read_records(spark, inputs, config, "key", head_records=config.head_records)
+        points = choose_pivots(heads, "key", partitions, "bernoulli", seed=seed, config=config)
     else:
-        keys = read_records(spark, inputs, config, "key")
-        points = choose_pivots(keys, "key", partitions, strategy, config=config, **({"seed": seed} if strategy == "bernoulli" else {}))
+        points = choose_pivots(read_records(spark, inputs, config, "key"), "key", partitions, strategy, seed=seed, total=before, config=config)
+    df = read_records(spark, inputs, config, "key,record")
     write_records(sort_records(df, "key", partitions, pivots=points, config=config).select("record"), output, config, inputs)
-    before = whole_record_count(inputs, config.record_length)
     after = sum(whole_record_count([os.path.join(output, d)], config.record_length) for d in os.listdir(output))
     if before != after:
         raise RuntimeError(f"{before} records were read and {after} written")

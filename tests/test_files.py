@@ -43,12 +43,26 @@ def test_count_from_sizes(tmp_path):
 
 
 def test_columns_and_slices(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(X, "SLICE", 7)
+    # Python data sources read in another process, so the slices are made here.
+    monkeypatch.setattr(X, "OPEN_BYTES", 0)
     data = random.Random(1).randbytes(100 * 30)
     put(str(tmp_path / "f"), data)
     rows = X.read_records(spark, [str(tmp_path)], columns="key,value,pos,path").orderBy("pos").collect()
     assert [bytes(r.key) + bytes(r.value) for r in rows] == [data[k : k + 100] for k in range(0, 3000, 100)]
     assert X.read_records(spark, [str(tmp_path)], max_records=11).count() == 11
+    put(str(tmp_path / "g"), data[:250])
+    for k in range(5):
+        put(str(tmp_path / f"small{k}"), data[: 100 * k])
+    for size in (100, 700, 1 << 20):
+        monkeypatch.setattr(X, "SLICE_BYTES", size)
+        reader = X._Reader({"paths": f'["{tmp_path}"]'}, ["pos", "path"])
+        parts = reader.partitions()
+        assert all(sum(n for _, _, n in p.pieces) <= max(1, size // 100) for p in parts)
+        got = [(path.as_py(), pos.as_py()) for p in parts for b in reader.read(p) for pos, path in zip(b.column(0), b.column(1), strict=True)]
+        assert sorted(got) == sorted((f, k) for f in X.list_files([str(tmp_path)]) for k in range(os.path.getsize(f) // 100))
+    assert len(parts) == 1
+    heads = X.read_records(spark, [str(tmp_path / "f"), str(tmp_path / "g")], columns="path", head_records=2).collect()
+    assert sorted(os.path.basename(r.path) for r in heads) == ["f", "f", "g", "g"]
     with pytest.raises(Exception, match="recordLength"):
         spark.read.format("fixedrec").option("path", str(tmp_path)).option("recordLength", 0).load().count()
 
@@ -97,3 +111,14 @@ def test_run_names(spark):
     assert C.needed_runs(runs, 21).count() == 0
     name = runs.where("j = 5").select(C.run_name(F.col("i"), F.col("j"), F.col("k")).alias("n")).first().n
     assert name == "file_10_5_99.dat"
+
+
+def test_append_numbers_on(spark, tmp_path):
+    config = X.SortConfig(chunk_bytes=3000)
+    for n, overwrite in ((100, True), (50, False), (70, False)):
+        df = spark.range(n).selectExpr("rpad(cast('x' as binary), 100, cast(' ' as binary)) AS record").coalesce(1)
+        X.write_records(df, str(tmp_path / "out"), config, overwrite=overwrite)
+    assert X.whole_record_count([str(tmp_path / "out" / "worker_1")]) == 220
+    assert X.read_sorted(spark, str(tmp_path / "out"), config).selectExpr("max(file)", "count(distinct file)").first()[:] == (9, 9)
+    X.write_records(df, str(tmp_path / "out"), config)
+    assert X.whole_record_count([str(tmp_path / "out" / "worker_1")]) == 70 and os.listdir(tmp_path / "out") == ["worker_1"]

@@ -2,6 +2,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from keystrata.config import SortConfig
 from keystrata.operators import pivots as P
 from keystrata.operators import sampling as S
@@ -131,3 +133,47 @@ def test_exchange_settings():
     assert exchange_settings() == {"spark.network.timeout": "120s"}
     with pytest.raises(ValueError):
         exchange_settings("other")
+
+
+@pytest.mark.parametrize("strategy", ["bernoulli", "hash", "exact"])
+def test_a_hot_key_does_not_reach_the_driver(spark, monkeypatch, strategy):
+    """Half of all rows share a key; what is collected stays near SAMPLES for each partition."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("n")).select(F.unhex(F.lpad(F.hex("n"), 16, "0")).alias("key"))
+    seen = []
+    for name in ("select_pivots", "weighted_pivots"):
+        real = getattr(P, name)
+        monkeypatch.setattr(P, name, lambda sample, n, real=real: seen.append(len(sample)) or real(sample, n))
+        monkeypatch.setattr(O, name, getattr(P, name))
+    points = O.choose_pivots(df, "key", 6, strategy)
+    assert len(points) == 5 and all(n < 2 * O.FINE * 8 * 6 for n in seen)
+    if strategy == "exact":
+        keys = sorted(bytes(r.key) for r in df.collect())
+        assert points == [keys[i] for i in P.pivot_indices(len(keys), 6)]
+
+
+def test_weighted_pivots_equal_repeated_keys():
+    sample = [(b"a", 3), (b"c", 1), (b"b", 5), (b"d", 2)]
+    assert P.weighted_pivots(sample, 4) == P.select_pivots([k for k, n in sample for _ in range(n)], 4)
+    assert P.weighted_pivots([(b"a", 2)], 3) == []
+
+
+def test_many_split_points(spark):
+    points = [k.to_bytes(3, "big") for k in range(0, 9000, 7)]
+    df = spark.range(9100).select("id", F.unhex(F.lpad(F.hex("id"), 6, "0")).alias("key"))
+    got = df.select("id", P.partition_of(F.col("key"), points).alias("p")).collect()
+    assert all(r.p == sum(1 for x in range(0, 9000, 7) if x <= r.id) for r in got[::37])
+
+
+def test_global_rank_spreads_a_hot_key(spark):
+    df = spark.range(3000).select(F.lit(b"k").alias("key"), F.when(F.col("id") % 10 == 0, None).otherwise(-F.col("id")).alias("t"), F.lit("mine").alias("pid"), F.col("id").alias("row"))
+    got = O.global_rank(df, ["key", "t", "row"], 4).collect()
+    want = sorted(((r.t is not None, r.t or 0, r.row), r.rank) for r in got)
+    assert [x[1] for x in want] == list(range(1, 3001)) and {r.pid for r in got} == {"mine"}
+
+
+def test_a_column_named_pid_is_kept(spark):
+    df = spark.range(5).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(9).alias("pid"))
+    with pytest.raises(ValueError, match="pid"):
+        O.sort_records(df, "key", 2)
+    done = O.sort_records(df, "key", 2, pid="range_id").collect()
+    assert {r.pid for r in done} == {9} and len(done) == 5
