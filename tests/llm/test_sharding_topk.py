@@ -53,28 +53,33 @@ def brute(rows, k, every, scale=64.0):
     ok = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
     vecs = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and ok(v)]
     out = set()
+    most = (1 << 63) - 1
     for q, v in {(i, tuple(v)) for i, v in vecs if i % every == 0}:
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vecs if i != q and len(w) == len(v))
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
+        out |= {(q, n + 1, i, max(-most - 1, min(most, -s))) for n, (s, i) in enumerate(scores[:k])}
     return out
 
 
-@pytest.mark.parametrize("big", [1.0, 1e5, 2e6])
+@pytest.mark.parametrize("big", [1.0, 1e5, 2e6, 1e9])
 def test_topk_exact(spark, monkeypatch, big):
+    monkeypatch.setattr(topk, "LONGEST", 5)
+    monkeypatch.setattr(topk, "ROUND_BYTES", 400)
     monkeypatch.setattr(topk, "CANDIDATES", 37)
     monkeypatch.setattr(topk, "QUERIES", 5)
     r = random.Random(3)
     base = [r.gauss(0, big) for _ in range(9)]
     rows = [(k, [r.gauss(0, big) for _ in range(9)]) for k in range(150)]
     rows += [(200 + k, base) for k in range(60)]  # ties
-    rows += [(300, None), (301, [1.0, None] + [0.0] * 7), (302, [float("nan")] * 9), (303, [float("inf")] * 9), (None, base), (304, [1.0, 2.0]), (320, [1.0, 1.0]), (340, []), (20, rows[20][1]), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 7), (302, [float("nan")] * 9), (303, [float("inf")] * 9), (None, base), (304, [1.0, 2.0]), (320, [1.0, 1.0]), (340, []), (360, []), (40, rows[41][1]), (20, rows[20][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS key", "2 AS dim", "3 AS cutoff").repartition(3)
     got = {tuple(x) for x in topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 8, scale=64.0).collect()}
-    assert {g for g in got if g[0] != 340} == {g for g in brute(rows, 8, 20) if g[0] != 340}
+    assert got == brute(rows, 8, 20)
 
 
 def test_topk_few_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.exact_top_k(few, few.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 2)]
+    huge = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(x)[2:] for x in topk.exact_top_k(huge, huge.where("vec_id = 1"), 5, scale=64.0).collect()] == [(3, 192 * 64), (2, -(1 << 63))]
     none = few.where("vec_id > 9")
     assert topk.exact_top_k(none, none, 5).count() == 0 and topk.exact_top_k(few, none, 5).count() == 0
