@@ -306,7 +306,7 @@ def fit(labelled: DataFrame) -> Lexicon:
             x = np.array([lexicon.features(t) for t in b.column(0).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], schema=schema)
 
-    points = sample.mapInArrow(features, "toxic int, a double, b double").orderBy("a", "b", "toxic").toPandas()
+    points = sample.mapInArrow(features, "toxic int, a double, b double").toPandas().sort_values(["a", "b", "toxic"])
     sample.unpersist()
     return Lexicon(rough.stems, rough.exceptions, _curve(points[["a", "b"]].to_numpy(), points["toxic"].to_numpy()))
 
