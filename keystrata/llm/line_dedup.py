@@ -99,31 +99,58 @@ def runs(words: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def packed(places: list[tuple[int, int]]) -> bytes:
+    """(start, end) of units in order, as differences of seven bits a byte: a few bytes for each."""
+    out, before = bytearray(), 0
+    for start, end in places:
+        for x in (start - before, end - start):
+            while x > 127:
+                out.append(x & 127 | 128)
+                x >>= 7
+            out.append(x)
+        before = end
+    return bytes(out)
+
+
+def unpacked(data: bytes) -> list[tuple[int, int]]:
+    out, at, x, shift = [], 0, 0, 0
+    start = None
+    for b in data:
+        x |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            at += x
+            if start is None:
+                start = at
+            else:
+                out.append((start, at))
+                start = None
+            x = shift = 0
+    return out
+
+
 RUNS = "d1 long, d2 long, doc_id long, text_key long, unit int, spans binary"
 
 
 def _run_rows(batches):
-    """For each run its digest, first unit, and (number, start, end) of its units as int32."""
+    """For each run its digest, the number of its first unit, and the places of its units."""
     for b in batches:
-        digests, owner, first, spans, sizes = [], [], [], [], []
+        digests, owner, first, spans = [], [], [], []
         for row, text in enumerate(b.column(2).to_pylist()):
             found = list(units(text))
             for i, j in runs([n_words(u[2]) for u in found]):
-                digests.append(xxhash.xxh3_128_digest("\n".join([u[2] for u in found[i:j]]).encode("utf-8", "surrogatepass")))
+                inside = found[i:j]
+                digests.append(xxhash.xxh3_128_digest("\n".join([u[2] for u in inside]).encode("utf-8", "surrogatepass")))
                 owner.append(row)
                 first.append(i)
-                sizes.append(12 * (j - i))
-                for k in range(i, j):
-                    spans += (k, found[k][0], found[k][1])
-        if not owner:
-            continue
-        pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.array(spans, np.int32).tobytes())])
-        at = pa.array(owner, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()), binary], names=["d1", "d2", "doc_id", "text_key", "unit", "spans"]
-        )
+                spans.append(packed([u[:2] for u in inside]))
+        if owner:
+            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()), pa.array(spans, pa.binary())],
+                names=["d1", "d2", "doc_id", "text_key", "unit", "spans"],
+            )
 
 
 def _place() -> Column:
@@ -131,7 +158,7 @@ def _place() -> Column:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans and first_doc_id of every run that is not the earliest of its digest."""
+    """doc_id, text_key, unit, spans and first_doc_id of every run that is not the earliest of its digest."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = cut(rows.mapInArrow(_run_rows, RUNS), "runs")
@@ -143,23 +170,34 @@ def repeats(docs: DataFrame) -> DataFrame:
     for done in (found, often):
         drop_cut(done)
     later = again.join(groups, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2"))).where(_place() != F.col("first"))
-    return later.select("doc_id", "text_key", "spans", F.col("first.doc_id").alias("first_doc_id"))
+    return later.select("doc_id", "text_key", "unit", "spans", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def _single(batches):
-    """One row for each unit of each run."""
+    """One row for each unit that any of a text's runs removes."""
+    names = ["doc_id", "text_key", "start", "end", "first_doc_id"]
     for b in batches:
-        raw = b.column(2).to_pylist()
-        at = pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // 12 for x in raw]))
-        flat = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 3)
-        columns = [b.column(0).take(at), b.column(1).take(at), *[pa.array(flat[:, k].astype(np.int64)) for k in (1, 2)], b.column(3).take(at)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "first_doc_id"])
+        owner, starts, ends, firsts = [], [], [], []
+        for row, found in enumerate(b.column(2).to_pylist()):
+            best: dict[tuple[int, int], int | None] = {}
+            for run in found:
+                doc = run["first_doc_id"]
+                for place in unpacked(run["spans"]):
+                    known = best.get(place)
+                    best[place] = doc if known is None or (doc is not None and doc < known) else known
+            owner += [row] * len(best)
+            starts += [x[0] for x in best]
+            ends += [x[1] for x in best]
+            firsts += best.values()
+        at = pa.array(owner, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(x, pa.int64()) for x in (starts, ends, firsts)]], names=names)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end, first_doc_id of each removed unit (code points from 0, end exclusive); the first document of those that its runs are met in."""
-    rows = repeats(docs).mapInArrow(_single, "doc_id long, text_key long, start long, end long, first_doc_id long")
-    return rows.groupBy("doc_id", "text_key", "start", "end").agg(F.min("first_doc_id").alias("first_doc_id"))
+    # A set: rows that are repeated any number of times give one.
+    found = repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("spans", "first_doc_id")).alias("found"))
+    return found.mapInArrow(_single, "doc_id long, text_key long, start long, end long, first_doc_id long")
 
 
 def without(text: str, cuts: set[int]) -> str:
@@ -183,8 +221,7 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     """docs' rows with two more columns, `kept_text` and `n_removed` (units that were cut), or longer names if those are taken."""
     kept, removed = fresh(docs, "kept_text"), fresh(docs, "n_removed")
     ids = [fresh(docs, x) for x in ("cut_doc", "cut_key", "cuts")]
-    # Distinct first, so that rows repeated any number of times give one list.
-    cuts = repeats(docs).select("doc_id", "text_key", "spans").distinct().groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("cuts"))
+    cuts = repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("unit", "spans")).alias("cuts"))
     cuts = cuts.toDF(*ids)
     same = docs["doc_id"].eqNullSafe(F.col(ids[0])) & (F.xxhash64(docs["text"]) == F.col(ids[1]))
     joined = docs.join(cuts, same, "left").drop(*ids[:2])
@@ -194,7 +231,7 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts, counts = [], []
             for text, spans in zip(b.column(place).to_pylist(), b.column(n).to_pylist(), strict=True):
-                gone = set(np.frombuffer(b"".join(spans), np.int32)[::3].tolist()) if spans else set()
+                gone = {run["unit"] + k for run in spans or () for k in range(len(unpacked(run["spans"])))}
                 texts.append(without(text, gone) if gone else text)
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, b.column(place).type), pa.array(counts, pa.int32())], names=names)
