@@ -26,14 +26,13 @@ asked twice with different values is met. Texts that share a doc_id are judged a
 Items shorter than WINDOW words use one window of their own length, with at least
 MIN_WORDS words. The benchmark side is broadcast only if its windows, counted
 first, number at most BROADCAST_WINDOWS; beyond that the join shuffles both sides.
-Of a document only a hash and a place for each window leave the scan: its words are
-looked up where a hash meets.
+The join's key is one whole number, the template's hash; templates are compared after it.
 
 Edge cases: null or empty texts and items match nothing; a null doc_id or item_id
 is a value of its own; repeated documents are told apart by nothing and give one
 row; repeated windows count once; empty tables give an empty result; other
-columns are ignored, and pass through the stage; the memory of one text is a few
-times its size.
+columns are ignored, and pass through the stage; a text's windows are made at once,
+so its memory is some WINDOW times its size.
 """
 
 from __future__ import annotations
@@ -67,19 +66,20 @@ def canonical(text: Column) -> Column:
 
     A word that may be a name has _SOFT before it.
     """
-    marked = F.regexp_replace(text, r"(?<=\p{Ll} )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\ue002])", _SOFT)
+    marked = F.regexp_replace(text, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}].)", f"{_SOFT}$0")
+    marked = F.regexp_replace(marked, rf"{_SOFT}(?<=\p{{Ll}} .)", _NAME)
     marked = F.regexp_replace(marked, r"[.,/](?<=\d.)(?=\d)", _POINT)
     marked = F.regexp_replace(marked, rf"(\d[\d{_POINT}]*)(?: ?(%|{UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUM}$1 {_UNIT}$2 ")
     marked = F.replace(marked, F.lit(f"{_UNIT} "), F.lit(""))
     return F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}%\ue000-\ue005]+", " "))
 
 
-def words_of(canonical_: Column) -> Column:
-    """Its words, number words as numbers."""
-    soft = F.lit(_SOFT)
-    bare = lambda w: F.when(w.startswith(soft), F.replace(w, soft, F.lit(""))).otherwise(w)
-    return F.transform(F.split(canonical_, " "), lambda w: F.when(bare(w).isin(*NUMBER_WORDS.split()), F.concat(F.lit(_NUM), bare(w))).otherwise(w))
+def with_numbers(canonical_: Column) -> Column:
+    """Canonical text with number words as numbers, and one space after the last word."""
+    numbers = NUMBER_WORDS.split()
+    some = [*numbers, *(_SOFT + w for w in numbers)]  # one lookup for each word
+    words = F.transform(F.split(canonical_, " "), lambda w: F.when(w.isin(*some), F.concat(F.lit(_NUM), F.replace(w, F.lit(_SOFT), F.lit("")))).otherwise(w))
+    return F.concat(F.array_join(words, " "), F.lit(" "))
 
 
 def template(window: Column) -> Column:
@@ -91,18 +91,10 @@ def slots(window: Column) -> Column:
     return F.when(F.contains(window, F.lit(_SLOT)), found).otherwise(F.array().cast("array<string>"))
 
 
-def plain(window: Column) -> Column:
-    """The window with words that may be names as none; named: with all of them as names."""
-    return F.replace(window, F.lit(_SOFT), F.lit(""))
-
-
-def named(window: Column) -> Column:
-    return F.replace(window, F.lit(_SOFT), F.lit(_NAME))
-
-
-def word_hashes(template_: Column) -> Column:
-    """A hash of each word of a template."""
-    return F.transform(F.split(template_, " "), lambda w: F.xxhash64(w))
+def windows_of(text: Column, words: int) -> Column:
+    """All windows of so many words of a canonical text, in order; none if it has fewer."""
+    # Each match takes one word and looks ahead for the rest, so windows overlap.
+    return F.regexp_extract_all(text, F.lit(rf"(?=((?:[^ ]+ ){{{words}}}))[^ ]+ "), F.lit(1))
 
 
 def _choices(window: Column) -> Column:
@@ -120,40 +112,24 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """
     texts = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text")
     forms = texts.select("item_id", "item_key", F.explode(F.array_distinct(F.array(canonical(F.col("text")), canonical(F.lower("text"))))).alias("c"))
-    items = forms.select("item_id", "item_key", words_of(F.col("c")).alias("words")).withColumn("n_words", F.size("words"))
-    w = F.least(F.col("n_words"), F.lit(WINDOW))
-    n = F.col("n_words") - w + 1
-    rows = items.where(F.col("n_words") >= MIN_WORDS).select("item_id", "item_key", "words", w.alias("w"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    rows = rows.withColumn("window", F.array_join(F.slice("words", F.col("at") + 1, F.col("w")), " ")).drop("words")
+    items = forms.select("item_id", "item_key", with_numbers(F.col("c")).alias("c")).withColumn("words", F.size(F.split(F.trim("c"), " ")))
+    w = F.least(F.col("words"), F.lit(WINDOW))
+    some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
+    rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", "item_key", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
     rows = rows.withColumn("window", F.explode(_choices(F.col("window"))))
-    return rows.withColumn("template", template(F.col("window"))).distinct().withColumn("h", F.xxhash64(word_hashes(F.col("template"))))
+    return rows.withColumn("template", template(F.col("window"))).distinct().withColumn("h", F.xxhash64("template"))
 
 
 def text_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, text_key, words, w, place, form and h of every window of the texts; form 1 only where it differs."""
+    """doc_id, text_key, place, form, doc_window and dh (its template's hash) of every window of the texts."""
     text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
-    text = text.select("doc_id", "text_key", words_of(F.col("c")).alias("words"))
-    text = text.withColumn("c", F.array_join("words", " "))
-    soft = F.contains("c", F.lit(_SOFT))
-    hashed = text.select("doc_id", "text_key", "words", word_hashes(template(plain(F.col("c")))).alias("h0"), F.when(soft, word_hashes(template(named(F.col("c"))))).alias("h1"))
-
-    # Places come from an explode, so that windows are hashed in generated code, and words once only.
-    sized = hashed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("w")).where(F.size("words") >= F.col("w"))
-    placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("w"))).alias("place"))
-
-    def window_hash(hashes: str) -> Column:
-        of = lambda w: F.xxhash64(*[F.get(hashes, F.col("place") + k) for k in range(w)])
-        return F.coalesce(*[F.when(F.col("w") == w, of(w)) for w in lengths])
-
-    second = F.when(F.col("h1").isNotNull(), window_hash("h1"))
-    both = F.array(window_hash("h0"), F.when(second != window_hash("h0"), second))
-    return placed.select("doc_id", "text_key", "words", "w", "place", F.posexplode(both).alias("form", "h")).where(F.col("h").isNotNull())
-
-
-def _window(rows: DataFrame) -> DataFrame:
-    """rows with their window's words in place of all words."""
-    words = F.array_join(F.slice("words", F.col("place") + 1, F.col("w")), " ")
-    return rows.withColumn("doc_window", F.when(F.col("form") == 0, plain(words)).otherwise(named(words))).drop("words")
+    text = text.select("doc_id", "text_key", with_numbers(F.col("c")).alias("c"))
+    # An item has one window length, so places need only be right among windows of one length.
+    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*[windows_of(F.col("c"), w) for w in lengths])).alias("place", "window"))
+    named = F.array(F.replace("window", F.lit(_SOFT), F.lit("")), F.replace("window", F.lit(_SOFT), F.lit(_NAME)))
+    both = F.when(F.contains("window", F.lit(_SOFT)), named).otherwise(F.array("window"))
+    found = found.select("doc_id", "text_key", "place", F.posexplode(both).alias("form", "doc_window"))
+    return found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
 
 
 def occurrences(pairs: DataFrame) -> DataFrame:
@@ -179,11 +155,8 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lengths.append(row["w"])
         n += row["count"]
     found = text_windows(docs.select("doc_id", "text"), sorted(lengths) or [WINDOW])
-    side = items.withColumnRenamed("w", "item_w")
-    same = (F.col("h") == F.col("item_h")) & (F.col("w") == F.col("item_w"))
-    side = side.withColumnRenamed("h", "item_h")
-    met = _window(found.join(F.broadcast(side), same)) if n <= BROADCAST_WINDOWS else _window(found).join(side, same)
-    met = met.where(template(F.col("doc_window")) == F.col("template"))
+    side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
+    met = found.join(side, F.col("dh") == F.col("h")).where(template(F.col("doc_window")) == F.col("template"))
     zipped = F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now"))
     pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", "form", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
