@@ -26,13 +26,13 @@ asked twice with different values is met. Texts that share a doc_id are judged a
 Items shorter than WINDOW words use one window of their own length, with at least
 MIN_WORDS words. The benchmark side is broadcast only if its windows, counted
 first, number at most BROADCAST_WINDOWS; beyond that the join shuffles both sides.
-The join's key is one whole number, the template's hash; templates are compared after it.
+The join's key is one whole number, the hash of the template's words; templates are compared after it.
 
 Edge cases: null or empty texts and items match nothing; a null doc_id or item_id
 is a value of its own; repeated documents are told apart by nothing and give one
 row; repeated windows count once; empty tables give an empty result; other
-columns are ignored, and pass through the stage; a text's windows are made at once,
-so its memory is some WINDOW times its size.
+columns are ignored, and pass through the stage; a text's words are held at once,
+in three forms.
 """
 
 from __future__ import annotations
@@ -117,19 +117,35 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     some = F.when(F.col("words") >= WINDOW, windows_of(F.col("c"), WINDOW)).otherwise(F.array("c"))
     rows = items.where(F.col("words") >= MIN_WORDS).select("item_id", "item_key", w.alias("w"), F.greatest(F.lit(1), F.col("words") - WINDOW + 1).alias("n"), F.posexplode(some).alias("at", "window"))
     rows = rows.withColumn("window", F.explode(_choices(F.col("window"))))
-    return rows.withColumn("template", template(F.col("window"))).distinct().withColumn("h", F.xxhash64("template"))
+    return rows.withColumn("template", template(F.col("window"))).distinct().withColumn("h", hashed(F.split("template", " "), F.lit(0), F.col("w")))
+
+
+def hashed(words: Column, place: Column, w: Column) -> Column:
+    """Hash of w words from place on."""
+    at = [F.get(words, place + k) for k in range(WINDOW)]
+    return F.xxhash64(*[x if k < MIN_WORDS else F.when(w > k, x) for k, x in enumerate(at)])  # nulls leave a hash as it is
 
 
 def text_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, text_key, place, form, doc_window and dh (its template's hash) of every window of the texts."""
+    """doc_id, text_key, place, form, doc_window and dh (its template's hash) of every window of the texts.
+
+    Templates are made of the text, not of each window. Hashes come from the words in place, so
+    that a window is put together only where its hash is met.
+    """
     text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("c"))
     text = text.select("doc_id", "text_key", with_numbers(F.col("c")).alias("c"))
+    plain, named = (template(F.replace("c", F.lit(_SOFT), F.lit(to))) for to in ("", _NAME))
+    text = text.select("doc_id", "text_key", *[F.split(x, " ").alias(k) for k, x in (("words", F.col("c")), ("plain", plain), ("named", named))])
     # An item has one window length, so places need only be right among windows of one length.
-    found = text.select("doc_id", "text_key", F.posexplode(F.concat(*[windows_of(F.col("c"), w) for w in lengths])).alias("place", "window"))
-    named = F.array(F.replace("window", F.lit(_SOFT), F.lit("")), F.replace("window", F.lit(_SOFT), F.lit(_NAME)))
-    both = F.when(F.contains("window", F.lit(_SOFT)), named).otherwise(F.array("window"))
-    found = found.select("doc_id", "text_key", "place", F.posexplode(both).alias("form", "doc_window"))
-    return found.withColumn("dh", F.xxhash64(template(F.col("doc_window"))))
+    text = text.withColumn("w", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
+    # Outer, as a filter for empty arrays would make the words twice; there are none.
+    found = text.select("*", F.posexplode_outer("plain").alias("place", "first")).where(F.col("place") + F.col("w") < F.size("plain"))  # what the last space ends is no word
+    found = found.select("doc_id", "text_key", "words", "place", "w", *[hashed(F.col(k), F.col("place"), F.col("w")).alias(k) for k in ("plain", "named")])
+    both = F.array("plain", F.when(F.col("named") != F.col("plain"), F.col("named")))
+    found = found.select("doc_id", "text_key", "words", "place", "w", F.posexplode(both).alias("form", "dh")).where(F.col("dh").isNotNull())
+    window = F.concat(F.array_join(F.slice("words", F.col("place") + 1, F.col("w")), " "), F.lit(" "))
+    window = F.replace(window, F.lit(_SOFT), F.when(F.col("form") == 0, F.lit("")).otherwise(F.lit(_NAME)))
+    return found.select("doc_id", "text_key", "place", "form", window.alias("doc_window"), "dh")
 
 
 def occurrences(pairs: DataFrame) -> DataFrame:
@@ -156,7 +172,8 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         n += row["count"]
     found = text_windows(docs.select("doc_id", "text"), sorted(lengths) or [WINDOW])
     side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
-    met = found.join(side, F.col("dh") == F.col("h")).where(template(F.col("doc_window")) == F.col("template"))
+    # Not ==, which would be a second key of the join, made for every window; this is looked at where hashes meet.
+    met = found.join(side, F.col("dh") == F.col("h")).where(template(F.col("doc_window")).between(F.col("template"), F.col("template")))
     zipped = F.arrays_zip(slots(F.col("window")).alias("was"), slots(F.col("doc_window")).alias("now"))
     pairs = met.select("doc_id", "text_key", "item_id", "item_key", "w", "n", "at", "form", (F.col("place") - F.col("at")).alias("shift"), zipped.alias("slots")).distinct()
     value = F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))

@@ -497,3 +497,29 @@ def test_decontamination_shuffles_beyond_the_bound(spark, monkeypatch):
     text = " ".join(f"word{chr(97 + k)}" for k in range(20))
     one = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in D.leaks(one, one.withColumnRenamed("doc_id", "item_id")).collect()] == [(1, 1)]
+
+
+def test_decontamination_windows_of_several_lengths(spark):
+    texts = ["Alpha beta two Gamma 5 km delta. Zeta eta theta iota, Kappa lambda mu nu xi", "one two three", "", "a b c d", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {r.doc_id: r.c.split() for r in docs.where("text IS NOT NULL").select("doc_id", D.with_numbers(D.canonical(F.col("text"))).alias("c")).collect()}
+    want = set()
+    for doc, ws in words.items():
+        for n in (4, 8):
+            for k in range(len(ws) - n + 1):
+                window = " ".join(ws[k : k + n]) + " "
+                want |= {(doc, k, form, window.replace(D._SOFT, to)) for form, to in enumerate(("", D._NAME)) if not form or D._SOFT in window}
+    got = D.text_windows(docs, [4, 8])
+    assert len(want) > 20 and {(r.doc_id, r.place, r.form, r.doc_window) for r in got.collect()} == want
+    w = F.size(F.split(F.trim("doc_window"), " "))
+    assert got.where(F.col("dh") != D.hashed(F.split(D.template(F.col("doc_window")), " "), F.lit(0), w)).count() == 0
+
+
+def test_decontamination_joins_on_the_hash_alone(spark):
+    """The template is made where hashes meet, not for every window."""
+    docs = spark.createDataFrame([(1, "what is the sum of all these many numbers here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "what is the sum of all these many numbers here")], "item_id long, text string")
+    got = D.leaks(docs, bench)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [dh#" in plan
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 1.0, 3, 0)]
