@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, small_batches, table
+from .common import fold, fresh, releasing, small_batches, table
 
 #: Buckets of n-grams: as many as let the matrix of all languages have at most MATRIX_CELLS numbers (64 MB).
 MAX_BUCKETS, MIN_BUCKETS, MATRIX_CELLS = 1 << 15, 1 << 10, 1 << 24
@@ -183,7 +183,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
     small_batches(labelled.sparkSession)
-    counts = sample.mapInArrow(_count(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(releasing(_count(buckets)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     matrix = np.zeros((buckets, len(languages)))
     column = {lang: k for k, lang in enumerate(languages)}
@@ -201,9 +201,13 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
-        for texts in batches:
-            lang, score = m.predict(texts.tolist())
-            yield pd.DataFrame({"lang": lang, "score": score})
+
+        def frames(batches):
+            for texts in batches:
+                lang, score = m.predict(texts.tolist())
+                yield pd.DataFrame({"lang": lang, "score": score})
+
+        yield from releasing(frames)(batches)
 
     small_batches(spark)
     return run(text)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, fresh, small_batches, table
+from .common import cut, drop_cut, fresh, releasing, small_batches, table
 
 #: Runs of fewer words stay.
 MIN_WORDS = 8
@@ -161,7 +161,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, unit, spans and first_doc_id of every run that is not the earliest of its digest."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    found = cut(rows.mapInArrow(_run_rows, RUNS), "runs")
+    found = cut(rows.mapInArrow(releasing(_run_rows), RUNS), "runs")
     # Tables, not subplans: a join right above an aggregate would tie a digest's rows to one task.
     often = cut(found.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("d1").alias("often")), "often")
     again = cut(found.join(often, F.col("d1") == F.col("often"), "left_semi"), "again")
@@ -197,7 +197,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end, first_doc_id of each removed unit (code points from 0, end exclusive); the first document of those that its runs are met in."""
     # A set: rows that are repeated any number of times give one.
     found = repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("spans", "first_doc_id")).alias("found"))
-    return found.mapInArrow(_single, "doc_id long, text_key long, start long, end long, first_doc_id long")
+    return found.mapInArrow(releasing(_single), "doc_id long, text_key long, start long, end long, first_doc_id long")
 
 
 def without(text: str, cuts: set[int]) -> str:
@@ -237,7 +237,7 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, b.column(place).type), pa.array(counts, pa.int32())], names=names)
 
     schema = docs.withColumns({kept: F.col("text"), removed: F.lit(0)}).schema
-    return joined.mapInArrow(rewritten, schema)
+    return joined.mapInArrow(releasing(rewritten), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

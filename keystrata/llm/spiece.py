@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, releasing, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 16, 1 << 15
@@ -352,13 +352,12 @@ def _decoded(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text) and ids of every row of docs (doc_id, text) that has a text."""
+def _split(docs: DataFrame, path: str, giant: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of docs that have a text: (doc_id, text_key, text) of those that are no giants, and (doc_id, text_key, ids) of giants."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     long_ = F.length("text") > giant
-    whole = rows.where(~long_).mapInArrow(_whole(path), "doc_id long, text_key long, ids array<int>")
     giants = rows.where(long_).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     margin = 2 * pieces(path).longest
@@ -371,7 +370,13 @@ def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int =
     traced = chunks.join(s, same).drop("d", "t", "n").mapInArrow(_backtraced(path), "doc_id long, text_key long, copies long, k int, ids array<int>")
     joined = traced.groupBy("doc_id", "text_key", "copies").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     whole_again = joined.select("doc_id", "text_key", F.flatten("parts.ids").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
-    return whole.unionByName(whole_again)
+    return rows.where(~long_), whole_again
+
+
+def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text) and ids of every row of docs (doc_id, text) that has a text."""
+    rows, giants = _split(docs, path, giant, chunk)
+    return rows.mapInArrow(releasing(_whole(path)), "doc_id long, text_key long, ids array<int>").unionByName(giants)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -380,12 +385,10 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "text_key", "ids").mapInArrow(_decoded(path), "doc_id long, text_key long, decoded string")
 
 
-def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip: whether the ids decode to the text that they came from."""
-    encoded = encode(docs, path)
+def _checked(path: str):
     schema = pa.schema([*_ENCODED, ("round_trip", pa.bool_()), ("decoded_bytes", pa.int64())])
 
-    def checked(batches):
+    def run(batches):
         p = pieces(path)
         for b in batches:
             lists = b.column(2)
@@ -399,7 +402,24 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 same.append(spark_xxhash64(raw) == key)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(same, pa.bool_()), pa.array(sizes, pa.int64())], schema=schema)
 
-    out = encoded.mapInArrow(checked, "doc_id long, text_key long, ids array<int>, round_trip boolean, decoded_bytes long")
+    return run
+
+
+def _whole_checked(path: str):
+    """Encoded and checked in one Python worker: two in a row would each keep the words that they have met."""
+    encoded, checked = _whole(path), _checked(path)
+
+    def run(batches):
+        return checked(encoded(batches))
+
+    return run
+
+
+def round_trips(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip: whether the ids decode to the text that they came from."""
+    rows, giants = _split(docs, path, giant, chunk)
+    columns = "doc_id long, text_key long, ids array<int>, round_trip boolean, decoded_bytes long"
+    out = rows.mapInArrow(releasing(_whole_checked(path)), columns).unionByName(giants.mapInArrow(releasing(_checked(path)), columns))
     empty = docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("ids"), F.lit(False).alias("round_trip"), F.lit(0).cast("long").alias("decoded_bytes"))
     return out.drop("text_key").unionByName(empty).select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip", "decoded_bytes")
 

@@ -60,3 +60,32 @@ def test_spark_encode(spark):
     trips = S.round_trips(df).collect()
     assert len(trips) == len(rows) and all(x.round_trip == (x.ids is not None) for x in trips)
     assert S.round_trips(df.where("doc_id < -1")).count() == 0
+
+
+def test_texts_pass_one_python_worker(spark):
+    """Encoding and checking are one function: two in a row would hold two workers' memory in each task."""
+
+    def in_a_row(node, above=0):
+        name = node.nodeName()
+        n = 0 if "Exchange" in name else above + (name == "MapInArrow")
+        children = node.children()
+        return max([n, *(in_a_row(children.apply(k), n) for k in range(children.size()))])
+
+    df = spark.createDataFrame([(1, "a b"), (2, "c " * 900), (3, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert in_a_row(S.round_trips(df)._jdf.queryExecution().executedPlan()) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rows = S.round_trips(df, giant=600, chunk=256).collect()
+    p = S.pieces(S.MODEL)
+    assert {r.doc_id: (r.ids, r.round_trip) for r in rows} == {1: (p.library.encode("a b"), True), 2: (p.library.encode("c " * 900), True), 3: (None, False)}
+
+
+def test_memory_is_released_when_a_task_ends(monkeypatch):
+    from keystrata.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    assert list(common.releasing(lambda xs: (2 * x for x in xs))([1, 2])) == [2, 4]
+    assert done == [1]
